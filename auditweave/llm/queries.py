@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditweave.llm.bpe import bpe_round_trip
+from auditweave.llm.forest import quality_rules
+from auditweave.llm.media import store_and_sniff
+from auditweave.llm.rulefit import quality_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_sniff(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_quality": op3_quality,
+    "op4_rules": op4_rules,
+    "op9_bpe": op9_bpe,
+    "op10_media": op10_media,
+}
 
 ORACLE_SQL: dict[str, str] = {}
