@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from auditweave.llm.bpe import bpe_round_trip
 from auditweave.llm.forest import quality_rules
 from auditweave.llm.media import store_and_sniff
+from auditweave.llm.mixing import mixed
 from auditweave.llm.rulefit import quality_scores
+from auditweave.llm.secrets import secret_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +28,10 @@ def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -31,8 +41,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_rules": op4_rules,
+    "op5_mixing": op5_mixing,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
 }
