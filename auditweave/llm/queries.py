@@ -10,6 +10,7 @@ from auditweave.llm.media import store_and_sniff
 from auditweave.llm.mixing import mixed
 from auditweave.llm.rulefit import quality_scores
 from auditweave.llm.secrets import secret_digest
+from auditweave.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_rules": op4_rules,
     "op5_mixing": op5_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
 }
