@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditweave.llm import sql
 from auditweave.llm.bpe import bpe_round_trip
 from auditweave.llm.forest import quality_rules
 from auditweave.llm.media import store_and_sniff
 from auditweave.llm.mixing import mixed
 from auditweave.llm.rulefit import quality_scores
 from auditweave.llm.secrets import secret_digest
+from auditweave.llm.substrings import removed_passages
 from auditweave.llm.toxicity import toxicity_scores
 
 
@@ -17,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_rules": op4_rules,
@@ -55,4 +62,4 @@ QUERIES = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2}
