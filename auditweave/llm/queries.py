@@ -9,6 +9,7 @@ from auditweave.llm.bpe import bpe_round_trip
 from auditweave.llm.forest import quality_rules
 from auditweave.llm.media import store_and_sniff
 from auditweave.llm.mixing import mixed
+from auditweave.llm.ngram_join import near_duplicates
 from auditweave.llm.rulefit import quality_scores
 from auditweave.llm.secrets import secret_digest
 from auditweave.llm.substrings import removed_passages
@@ -39,6 +40,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,9 +62,10 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_rules": op4_rules,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2}
+ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2, "op6_ngram_join": sql.OP6}
