@@ -80,8 +80,8 @@ w AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS
 x AS (SELECT rid, total, string_agg(word, ' ') OVER nxt AS key, count(*) OVER nxt AS n, pos FROM w WINDOW nxt AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 s AS MATERIALIZED (SELECT DISTINCT rid, key FROM x WHERE n = 5 OR (total < 5 AND pos = 0)),
 z AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
-o AS (SELECT a.rid AS x, b.rid AS y, count(*) AS both FROM s a JOIN s b ON a.key = b.key AND a.rid <> b.rid GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT x, y FROM o JOIN z p ON p.rid = x JOIN z q ON q.rid = y WHERE 100 * both >= 80 * (p.n + q.n - both)),
+o AS (SELECT a.rid AS x, b.rid AS y, count(*) AS shared FROM s a JOIN s b ON a.key = b.key AND a.rid <> b.rid GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN z p ON p.rid = x JOIN z q ON q.rid = y WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
 reach AS (WITH RECURSIVE t(x, y) AS (SELECT x, y FROM l UNION SELECT t.x, l.y FROM t JOIN l ON l.x = t.y) SELECT x, min(doc_id) AS low FROM t JOIN d ON d.rid = t.y GROUP BY x)
 SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(reach.low, d.doc_id)) AS component_id
 FROM d LEFT JOIN z USING (rid) LEFT JOIN reach ON reach.x = d.rid
