@@ -14,6 +14,7 @@ from auditweave.llm.rulefit import quality_scores
 from auditweave.llm.secrets import secret_digest
 from auditweave.llm.substrings import removed_passages
 from auditweave.llm.toxicity import toxicity_scores
+from auditweave.llm.warc import derivatives, responses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,9 +68,10 @@ QUERIES = {
     "op4_rules": op4_rules,
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2, "op6_ngram_join": sql.OP6}
+ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2, "op6_ngram_join": sql.OP6, "op7_warc": sql.OP7}
