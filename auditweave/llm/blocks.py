@@ -103,7 +103,7 @@ def runs(keys: np.ndarray) -> np.ndarray:
 def packed(block: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.Table:
     """Rows (bucket, block, one binary for each column) of arrays sorted by bucket."""
     at = runs(bucket)
-    ends = np.append(at[1:], len(bucket))
+    ends = np.append(at[1:], len(bucket)) if len(at) else at
     cols = [pa.array([c[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for c in columns]
     names = ["values", "extra"][: len(cols)]
     return pa.table([pa.array(bucket[at], pa.int32()), pa.array(np.full(len(at), block), pa.int32()), *cols], ["bucket", "block", *names])

@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from auditweave.llm.arrowio import id_text, map_texts
 
@@ -197,29 +196,30 @@ def vocabulary_path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Per row: n_tokens, digest of the ids, digest of the decoded text; with keep_ids also ``ids`` (array) and ``decoded``."""
+def bpe_round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
+    """Per row: n_tokens, digest of the ids, digest of the decoded text; with keep_ids also ``ids`` (array), with keep_decoded ``decoded``."""
 
     def make():
         bpe = SpeculativeBpe(vocabulary_path(path))
         digest = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
 
         def work(texts):
-            columns = [[], [], [], [], []]
+            out = []
             for i in range(0, len(texts), 200):
                 for n, ids, decoded in bpe.encode_batch(texts[i : i + 200]):
-                    row = (n, digest(ids), digest(decoded), ids, decoded) if keep_ids else (n, digest(ids), digest(decoded))
-                    for c, v in zip(columns, row, strict=False):
-                        c.append(v)
-            return columns if keep_ids else columns[:3]
+                    row = [n, digest(ids), digest(decoded)]
+                    if keep_ids:
+                        row.append(np.array(ids.split(), np.int32))
+                    if keep_decoded:
+                        row.append(decoded)
+                    out.append(row)
+            return list(zip(*out, strict=True))
 
         return work
 
     names, schema, types = ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()]
     if keep_ids:
-        names, schema, types = [*names, "ids_text", "decoded"], schema + ", ids_text string, decoded string", [*types, pa.string(), pa.string()]
-    out = map_texts(id_text(docs, id_col, text_col), make, schema, names, types)
-    if keep_ids:
-        ids = F.when(F.col("ids_text") == "", F.array().cast("array<int>")).otherwise(F.split("ids_text", " ").cast("array<int>"))
-        out = out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", ids.alias("ids"), "decoded")
-    return out
+        names, schema, types = [*names, "ids"], schema + ", ids array<int>", [*types, pa.list_(pa.int32())]
+    if keep_decoded:
+        names, schema, types = [*names, "decoded"], schema + ", decoded string", [*types, pa.string()]
+    return map_texts(id_text(docs, id_col, text_col), make, schema, names, types)

@@ -28,7 +28,7 @@ BROADCAST_SOURCES = 50_000
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     return docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
 
 
@@ -82,7 +82,7 @@ def settle(members: Column, depth: int) -> Column:
     return bind(F.aggregate(F.slice(members, 2, F.greatest(F.size(members) - 1, F.lit(0))), first, meet), lambda a: F.array_append(a["done"], a["carry"]))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, keep_rid: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, keep_key: bool = False) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
     rows = cut(sized(docs, id_col, text_col, source_col))
     sources = cut(source_targets(rows, weights, most))
@@ -117,4 +117,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     else:
         rows = rows.withColumn("more", F.lit(None).cast("int"))
     count = F.col("whole") + F.coalesce("more", F.lit(0))
-    return rows.select(*["rid"] * keep_rid, "doc_id", "size", "source_size", "target", (F.col("size") * count).cast("long").alias("taken"), count.alias("copies"))
+    return rows.select(*["th"] * keep_key, "doc_id", "size", "source_size", "target", (F.col("size") * count).cast("long").alias("taken"), count.alias("copies"))
+
+
+def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
+    """Each row as often as the mix takes it, all columns as they are."""
+    plan = mixed(docs, id_col, text_col, source_col, weights, most, keep_key=True).groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0")
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(plan, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_th")))
+    k = F.row_number().over(Window.partitionBy("_of", "_th").orderBy(F.lit(0)))  # equal rows share their copies
+    times = (F.floor(F.col("_all") * F.col("_k") / F.col("_rows")) - F.floor(F.col("_all") * (F.col("_k") - 1) / F.col("_rows"))).cast("int")
+    return rows.withColumn("_k", k).withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

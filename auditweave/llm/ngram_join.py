@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditweave.llm import blocks as B
@@ -320,3 +320,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = staying.select("doc_id", "n", "key").join(of, "key").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     alone = base.filter("key is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One document of each component stays (the smallest doc_id; of repeated rows of a doc_id one), all columns as they are."""
+    found = cut(near_duplicates(docs, id_col, text_col, width, percent)).filter("doc_id is not null")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("many"), F.min("component_id").alias("comp"))
+    leaving = again.filter("many > 1 or comp <> doc_id").select(F.col("doc_id").alias("_leaving"))
+    stay = docs.join(leaving, F.col(id_col) == F.col("_leaving"), "left_anti")
+    repeated = again.filter("many > 1 and comp = doc_id").select(F.col("doc_id").alias("_repeated"))
+    if repeated.limit(1).count():
+        first = F.row_number().over(Window.partitionBy("_repeated").orderBy(F.xxhash64(text_col), text_col))
+        stay = stay.union(docs.join(repeated, F.col(id_col) == F.col("_repeated")).withColumn("_first", first).filter("_first = 1").select(*docs.columns))
+    return stay

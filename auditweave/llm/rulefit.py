@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditweave.llm.arrowio import id_text, map_texts
+from auditweave.llm.arrowio import bounded_batches, id_text, map_texts
 from auditweave.llm.forest import stats_sample
 from auditweave.llm.labelled import MAX_ROWS, remainder
 from auditweave.llm.textstats import RATIOS, statistics
@@ -132,3 +133,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | N
     return text_statistics(docs, id_col, text_col).select(
         "doc_id", (F.coalesce(remainder(F.col("doc_id"), FOLDS), F.lit(0)) == HELD).alias("held_out"), model.column().alias("score")
     ).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows of docs that the classifier accepts, all columns as they are; one pass without a shuffle."""
+    model = fit(*stats_sample(docs, labels, "quality", FOLDS, HELD, max_rows))
+    names = [f"_stat_{r}" for r in RATIOS]
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            got = [statistics(t or "")[1] for t in b.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[k] for g in got], pa.float64()) for k in range(len(RATIOS)))], [*b.schema.names, *names])
+
+    schema = docs.schema
+    for n in names:
+        schema = T.StructType([*schema.fields, T.StructField(n, T.DoubleType())])
+    return bounded_batches(docs).mapInArrow(run, schema).filter(model.column(names) >= ACCEPT).select(*docs.columns)
