@@ -17,12 +17,12 @@ an empty table gives an empty table; without labelled rows of both kinds every s
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ CLASSES, OUTER = 96, ".,;:!?\"'()[]{}<>*#$%&|-_~`…«»„“”’"
 #: Words remembered by one Python worker; beyond, the memory starts anew, results stay the same.
 WORD_CACHE = 800_000
 #: Sum of kernel values is bounded by this many letter triples at a time.
-CHUNK = 4_000_000
+CHUNK = 500_000
 
 
 def letter_classes(words: list[str], n: int) -> np.ndarray:
@@ -212,44 +212,44 @@ def inserted(word: str) -> list[str]:
     return [word[:i] + "xqz"[k] + word[i:] for k, i in enumerate(sorted({1, len(word) // 2, len(word) - 1}))]
 
 
-def fit(texts: list[list[str]], marks: np.ndarray) -> ToxicityModel:
-    """texts: the distinct units of each text of the sample; marks: 1 for toxic texts."""
-    sides: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for t, m in zip(texts, marks, strict=True):
-        sides[int(m)].update(t)
-    often, counts = sides[0], [(u, sides[1][u], sides[0][u]) for u in sides[0].keys() | sides[1].keys() if sides[0][u] + sides[1][u] > 1]
+def fit(vocabulary: list[str], ids: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> ToxicityModel:
+    """ids: places in the vocabulary of the distinct units of one text of the sample after the other; sizes: how many each text has; marks: 1 for toxic texts."""
     toxic_share = (marks.sum() + 0.5) / (len(marks) + 1) if len(marks) else 0.5
     flat = ToxicityModel(np.zeros(CLASSES**ORDER), -1.0, (math.log(toxic_share / (1 - toxic_share)), 0.0))
-    base = marks.mean() if len(marks) else 0
-    bad = sorted((c for c in counts if c[1] >= min(LEAST_TOXIC, max(1, int(marks.sum()) // 20)) and c[1] >= LEAST_SHARE * (c[1] + c[2])), key=lambda c: (-c[1], c[0]))
-    names = {c[0] for c in bad}
-    clean = sorted((c for c in counts if c[0] not in names and c[2] and c[1] <= 2 * base * (c[1] + c[2]) + 1), key=lambda c: (-c[2], c[0]))
+    owner = np.repeat(marks, sizes)
+    hits, often = (np.bincount(ids[owner == m], minlength=len(vocabulary)) for m in (1, 0))
+    total, name = hits + often, np.array(vocabulary, object)
+    is_bad = (total > 1) & (hits >= min(LEAST_TOXIC, max(1, int(marks.sum()) // 20))) & (hits >= LEAST_SHARE * total)
+    is_clean = (total > 1) & ~is_bad & (often > 0) & (hits <= 2 * (marks.mean() if len(marks) else 0) * total + 1)
+    by = lambda mask, count: sorted(np.flatnonzero(mask), key=lambda k: (-count[k], name[k]))
+    bad, clean = by(is_bad, hits), by(is_clean, often)
     if not bad or not clean:
         return flat
     spread = clean[:: max(1, len(clean) // CLEAN_WORDS)][:CLEAN_WORDS]
-    landmarks = [c[0] for c in bad[:TOXIC_LANDMARKS]] + [c[0] for c in spread[:: max(1, len(spread) // CLEAN_LANDMARKS)][:CLEAN_LANDMARKS]]
-    toxic, shares = [c[0] for c in bad], np.array([c[1] for c in bad], float)
-    distinct = sorted({u for t in texts for u in t})
-    calm = sorted(often.keys() - names)
+    landmarks = [name[k] for k in [*bad[:TOXIC_LANDMARKS], *spread[:: max(1, len(spread) // CLEAN_LANDMARKS)][:CLEAN_LANDMARKS]]]
+    toxic, shares = [name[k] for k in bad], hits[bad].astype(float)
+    calm = np.flatnonzero((often > 0) & ~is_bad)
+    calm_words = [name[k] for k in calm]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     free = values > 1e-6 * values[-1]
     white = vectors[:, free] / np.sqrt(values[free])
     varied = [v for c in toxic for v in inserted(c)]
     toxic, shares = toxic + varied, np.concatenate([shares, np.repeat(shares / 10, [len(inserted(c)) for c in toxic])])
-    negative, points = [c[0] for c in spread], kernel(toxic, landmarks) @ white
+    negative, points = sorted(spread, key=lambda k: name[k]), kernel(toxic, landmarks) @ white
     for mining in range(MINING + 1):
-        x = np.concatenate([points, kernel(negative, landmarks) @ white])
+        x = np.concatenate([points, kernel([name[k] for k in negative], landmarks) @ white])
         y = np.repeat([1.0, -1.0], [len(toxic), len(negative)])
-        common = np.sqrt([often.get(u, 1) for u in negative])
+        common = np.sqrt(np.maximum(often[negative], 1))
         w, bias = svm(x, y, np.concatenate([shares / shares.sum(), common / common.sum()]))
         table = expand(landmarks, white @ w)
         if mining < MINING:  # clean words that look toxic join the negatives
-            m = against(table, calm) + bias
+            m = against(table, calm_words) + bias
             hard = [calm[k] for k in np.argsort(-m, kind="stable")[:HARD_WORDS] if m[k] > -0.7]
-            negative = sorted({*negative, *hard})
+            negative = sorted({*negative, *hard}, key=lambda k: name[k])
     model = ToxicityModel(table, bias, (0.0, 0.0))
-    known = dict(zip(distinct, np.clip(against(model.table, distinct) + bias, -1.0, 1.0).tolist(), strict=True))
-    tops = np.array([max((known[u] for u in t), default=-1.0) for t in texts])
+    margins = np.clip(against(table, vocabulary) + bias, -1.0, 1.0)
+    tops = np.full(len(marks), -1.0)
+    np.maximum.at(tops, np.repeat(np.arange(len(marks)), sizes), margins[ids])
     model.curve = logistic(tops[:, None], marks.astype(float))
     return model
 
@@ -261,8 +261,15 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS, held:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.string()))], ["doc_id", "label", "units"])
 
     sample = bounded_batches(labelled_sample(docs, labels, "toxic", folds, held, max_rows)).mapInArrow(run, "doc_id long, label int, units array<string>").filter(F.size("units") <= SAMPLE_UNITS)
-    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "units")).alias("s")).select("doc_id", "s.*").toPandas().sort_values("doc_id")
-    return fit([list(u) for u in rows["units"]], rows["label"].to_numpy(int))
+    rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "units")).alias("s")).select("doc_id", "s.*").toArrow().sort_by("doc_id").combine_chunks()
+    if not rows.num_rows:
+        return fit([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    units_of = rows.column("units").combine_chunks()
+    words = pc.dictionary_encode(units_of.flatten())
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    place = pc.rank(words.dictionary, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64) - 1  # in order of the words, however rows came
+    vocabulary = words.dictionary.take(pa.array(np.argsort(place))).to_pylist()
+    return fit(vocabulary, place[words.indices.to_numpy()], pc.list_value_length(units_of).to_numpy().astype(np.int64), rows.column("label").to_numpy().astype(np.int64))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
