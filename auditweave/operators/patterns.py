@@ -38,8 +38,9 @@ class Rule:
     about_committed_text: bool = False
     mask: bool = False
     case_sensitive: bool = False
-    literal: bool = False
+    code_shape: bool = False
     superseded_by: tuple[str, ...] = ()
+    maps_to: str = ""
     python_dialect: bool = True
 
     def regex(self, pattern: str) -> str:
@@ -63,7 +64,7 @@ FOUND = "array<struct<rule_ord:int,start:int,line:int>>"
 
 def rule_matches(rule: Rule, order: int, text: Column, view: Column, ext: Column, base: Column, production: Column) -> Column:
     """Matches of one rule in one file, after its file-level conditions, line suppressor and once-per-file."""
-    scanned = text if rule.literal else F.coalesce(view, text)
+    scanned = F.coalesce(view, text) if rule.code_shape else text
     applies = ext.isin(*rule.exts) | ((base == "Dockerfile") & F.lit("Dockerfile" in rule.exts))
     if not rule.about_committed_text:
         applies = applies & production
