@@ -10,7 +10,7 @@ from auditweave.functions.levels import EXPLOITATION_RANK, by_verdict, ranked
 #: The score from which a listed advisory counts as elevated, and the import patterns of an indexable source.
 EPSS_NOTABLE = 0.10
 IMPORT = r"""(?:\brequire\s*\(\s*|\bfrom\s+|\bimport\s*\(?\s*)['"]([^'"]+)['"]"""
-DEV_PATH = r"(?i)(?:^|/)(?:tests?|__tests__|specs?|e2e|cypress|benchmarks?|examples?|scripts|docs?)/|\.(?:test|spec|stories)\.[a-z]+$|(?:^|/)[^/]*\.config\.[a-z]+$"
+DEV_PATH = r"(?:^|/)(?:tests?|__tests__|spec|specs|e2e|examples?|scripts?|benchmarks?|docs?)/|\.(?:test|spec)\.[jt]sx?$|(?:^|/)test_[^/]+\.py$|(?:^|/)conftest\.py$"
 
 
 def import_index(files: DataFrame, specifier_to_package) -> DataFrame:

@@ -20,7 +20,7 @@ def sarif_fingerprint(findings: DataFrame, order: list[str]) -> DataFrame:
     """Adds fingerprint: 32 hex digits over id, file, cwe, evidence and the ordinal by line."""
     rows = findings.withColumn("_e", squeezed(F.col("evidence")))
     w = Window.partitionBy("detector_id", "file", "cwe", "_e").orderBy("line", *order)
-    text = F.concat_ws("|", "detector_id", "file", "cwe", "_e", (F.row_number().over(w) - 1).cast("string"))
+    text = F.concat_ws("\n", "detector_id", "file", "cwe", "_e", F.concat(F.lit("#"), (F.row_number().over(w) - 1).cast("string")))
     return rows.withColumn("fingerprint", F.substring(F.sha2(text, 256), 1, 32)).drop("_e")
 
 

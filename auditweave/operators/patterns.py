@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from auditweave.functions.text import DIALECT, DIALECT_CASED, evidence, line_at, matches
 
-#: What marks a path as not production. Fragments anywhere, then prefixes and suffixes of the base name.
-NOT_PRODUCTION = ("/test/", "/tests/", "/__tests__/", "/spec/", "/fixtures/", "/examples/", "/example/", "/docs/", "/migrations/")
-NOT_PRODUCTION_START, NOT_PRODUCTION_END = ("test_", "conftest"), ("_test.py", ".test.js", ".spec.js", ".test.ts", ".spec.ts", ".stories.js")
+#: What marks a path as not production. Fragments anywhere; then starts or ends of the base name.
+NOT_PRODUCTION = ("/tests/", "/test/", "/migrations/", "/fixtures/", "/scripts/", "/examples/", "/samples/", "/benchmarks/", "/management/commands/", "/seeders/", "/seeds/", "/factories/")
+NOT_PRODUCTION_NAMES = ("test_", "_test.py", "tests.py", "test.py", "conftest.py", "seed.py", "seeds.py", "seed_", "_seed.py", "seeds.rb", "_factory.py")
 MAX_BYTES = 1_000_000
 
 
@@ -52,10 +52,8 @@ def is_production(path: Column) -> Column:
     bad = F.lit(False)
     for x in NOT_PRODUCTION:
         bad = bad | F.contains(there, F.lit(x))
-    for x in NOT_PRODUCTION_START:
-        bad = bad | base.startswith(x)
-    for x in NOT_PRODUCTION_END:
-        bad = bad | base.endswith(x)
+    for x in NOT_PRODUCTION_NAMES:
+        bad = bad | base.startswith(x) | base.endswith(x)
     return ~bad
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditweave.functions import levels, text
-from auditweave.operators import compliance, dependencies, diff, findings, imports, intervals, scoring
+from auditweave.functions import levels, redos, text
+from auditweave.operators import compliance, dependencies, diff, findings, imports, intervals, php, scoring
 from auditweave.plans import corpus
 from auditweave.plans.corpus import ORDER, SUPERSEDED, TIER_ORDER, table
 from auditweave.plans.oracle import ORACLE_SQL as ORACLE_SQL
@@ -301,3 +301,24 @@ def q40_miss_causes(spark, sf_dir):
     rows = _labelled(spark, sf_dir).filter("is_vulnerable and not strict")
     cause = F.when(F.col("loose"), "other weakness").when(F.col("language") != "en", "language").when(text.in_sealed_fifth(F.col("id")), "sealed").otherwise("silent")
     return rows.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+
+
+SNIPPETS = ("(a+)+", r"((a)+)+", r"\S+@\S+$", r"\d*[.]?\d+x", r"\d+\.\d+", r"^\s+(.*)$", "(a|ab)*", "abc")
+
+
+@query
+def q36_redos_verdict(spark, sf_dir):
+    """Fixture patterns, each also prefixed by the words of the parts' types, so that the judgement runs over a table."""
+    patterns = spark.createDataFrame([(p,) for p in SNIPPETS], "snippet string")
+    words = table(spark, sf_dir, "part").select(F.lower("p_type").alias("word")).distinct()
+    rows = words.crossJoin(F.broadcast(patterns)).withColumn("pattern", F.concat("word", F.lit(" "), "snippet"))  # eight fixed snippets
+    return rows.withColumn("v", redos.backtracking(F.col("pattern"))).select("pattern", F.col("v.degree").alias("degree"), F.col("v.why").alias("why"), redos.severity_of(F.col("v.degree")).alias("severity"))
+
+
+@query
+def q37_php_paths(spark, sf_dir):
+    """One small PHP file for each nation: a request value, one hop, a sink that depends on the region, and a sanitised twin."""
+    sinks = F.array(*map(F.lit, ('$db->q("SELECT a FROM b WHERE c=$x");', "include $x;", "system($x);", "unlink($x);", "echo $x;")))
+    code = F.concat(F.lit('<?php\n$id = $_GET["id"];\n$x = "p" . $id;\n$y = intval($_POST["n"]);\n'), F.element_at(sinks, (F.col("n_regionkey") % 5 + 1).cast("int")), F.lit("\necho $y;\n"))
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/"), F.regexp_replace(F.lower("n_name"), "[^a-z]", "_"), F.lit(".php")).alias("file"), code.alias("text"))
+    return php.php_paths(files).withColumn("line", F.col("line").cast("long")).withColumn("source_line", F.col("source_line").cast("long"))

@@ -88,7 +88,7 @@ ORACLE_SQL = {
     "q17_diff_resolved": f"WITH {DIFF} SELECT * FROM d WHERE change = 'resolved'",
     "q18_diff_moved": f"WITH {DIFF} SELECT change, detector_id, count(*) AS n, sum(line)::BIGINT AS lines, sum(baseline_line)::BIGINT AS baseline_lines FROM d WHERE change IN ('moved', 'unchanged', 'not_compared') GROUP BY ALL",
     "q19_gate": f"WITH {DIFF} SELECT coalesce(max({RANK}), 0)::BIGINT AS worst_rank, coalesce(max({RANK}), 0) >= 4 AS gate FROM d WHERE change = 'introduced'",
-    "q20_sarif_fingerprint": f"WITH {SCAN}, r AS (SELECT *, trim(regexp_replace(evidence, '\\s+', ' ', 'g')) AS ne FROM scan) SELECT file, detector_id, line, sha256(concat_ws('|', detector_id, file, cwe, ne, row_number() OVER (PARTITION BY detector_id, file, cwe, ne ORDER BY line, rule_ord, start) - 1))[1:32] AS fingerprint FROM r",
+    "q20_sarif_fingerprint": f"WITH {SCAN}, r AS (SELECT *, trim(regexp_replace(evidence, '\\s+', ' ', 'g')) AS ne FROM scan) SELECT file, detector_id, line, sha256(concat_ws(chr(10), detector_id, file, cwe, ne, '#' || (row_number() OVER (PARTITION BY detector_id, file, cwe, ne ORDER BY line, rule_ord, start) - 1)))[1:32] AS fingerprint FROM r",
     "q21_label_match": f"WITH {LABELLED} SELECT id, file, is_vulnerable, loose, strict FROM labelled",
     "q22_confusion_by_class": f"""WITH {LABELLED}, g AS (SELECT CASE WHEN grouping(class) = 0 THEN 'class' WHEN grouping(language) = 0 THEN 'language' ELSE 'all' END AS dimension, coalesce(class, language, '') AS value, count(*) FILTER (is_vulnerable AND strict) AS tp, count(*) FILTER (NOT is_vulnerable AND strict) AS fp,
  count(*) FILTER (is_vulnerable AND NOT strict) AS fn FROM labelled GROUP BY GROUPING SETS ((), (class), (language))), m AS (SELECT *, {RATIO.format('tp', '(tp + fp)')} AS precision, {RATIO.format('tp', '(tp + fn)')} AS recall FROM g) SELECT *, {_FB(1)}, {_FB(2)}, {_FB(3)} FROM m""",
@@ -112,6 +112,9 @@ ORACLE_SQL = {
     "q34_sbom_components": """WITH r AS (SELECT l_partkey, max(l_linenumber) AS a, max(l_suppkey) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1), t AS (SELECT '@' || lower(replace(p_brand, '#', '')) || '/part-' || p_partkey AS name, CASE WHEN a IS NULL THEN '' ELSE a || '.' || b END AS version FROM part LEFT JOIN r ON p_partkey = l_partkey)
  SELECT name, version, 'pkg:npm/' || replace(name, '@', '%40') || CASE WHEN version <> '' THEN '@' || version ELSE '' END AS purl, regexp_replace('Package-' || name, '[^A-Za-z0-9.-]', '-', 'g') AS spdx_id, version = '' AS unresolved FROM t""",
     "q35_comment_views": "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->'))::BIGINT AS n_comments, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->'), lambda x: length(x))), 0)::BIGINT AS comment_chars, length(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'))::BIGINT AS left_chars FROM pages",
+    "q37_php_paths": """WITH n AS (SELECT 'src/' || regexp_replace(lower(n_name), '[^a-z]', '_', 'g') || '.php' AS file, n_regionkey % 5 + 1 AS k FROM nation)
+ SELECT ['TAINT-PHP-SQLI', 'TAINT-PHP-LFI', 'TAINT-PHP-CMDI', 'TAINT-PHP-PATH', 'TAINT-PHP-XSS'][k] AS sink_id, ['CWE-89', 'CWE-98', 'CWE-78', 'CWE-22', 'CWE-79'][k] AS cwe, ['Critical', 'Critical', 'Critical', 'High', 'High'][k] AS severity, 'medium' AS confidence, file, 5::BIGINT AS line,
+ '$x (from a superglobal)' AS source, 2::BIGINT AS source_line, ['$db->q("SELECT a FROM b WHERE c=$x");', 'include $x;', 'system($x);', 'unlink($x);', 'echo $x;'][k] AS evidence, '$id = $_GET["id"];' AS source_evidence FROM n""",
     "q38_module_fixpoint": """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + n_regionkey) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 1) % 25 FROM nation WHERE n_regionkey = 1),
  t AS (SELECT n_nationkey AS start, n_nationkey AS node FROM nation UNION SELECT start, dst FROM t JOIN e ON src = node) SELECT start, node FROM t""",
     "q39_import_resolution": r"""WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), b AS (SELECT *, regexp_replace(host, '^(?:www|m)[.]', '') AS bare FROM p),
