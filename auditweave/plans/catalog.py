@@ -320,5 +320,5 @@ def q37_php_paths(spark, sf_dir):
     """One small PHP file for each nation: a request value, one hop, a sink that depends on the region, and a sanitised twin."""
     sinks = F.array(*map(F.lit, ('$db->q("SELECT a FROM b WHERE c=$x");', "include $x;", "system($x);", "unlink($x);", "echo $x;")))
     code = F.concat(F.lit('<?php\n$id = $_GET["id"];\n$x = "p" . $id;\n$y = intval($_POST["n"]);\n'), F.element_at(sinks, (F.col("n_regionkey") % 5 + 1).cast("int")), F.lit("\necho $y;\n"))
-    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/"), F.regexp_replace(F.lower("n_name"), "[^a-z]", "_"), F.lit(".php")).alias("file"), code.alias("text"))
+    files = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/n"), F.col("n_nationkey").cast("string"), F.lit(".php")).alias("file"), code.alias("text"))
     return php.php_paths(files).withColumn("line", F.col("line").cast("long")).withColumn("source_line", F.col("source_line").cast("long"))

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from auditweave.operators.patterns import Rule, pattern_findings
 
 LANGS = ("en", "fr", "de", "es")
-#: A small rule dimension for prose; ASCII patterns that read alike in Java and RE2.
+#: A small rule dimension for prose; ASCII patterns without word borders, which Java and RE2 see differently beside other letters.
 TEXT_RULES = (
     Rule("TXT-SECRET-TOKEN", "Token assigned in text", "CWE-798", "High", 'token = "[0-9a-f]{40}"', LANGS, mask=True, case_sensitive=True, python_dialect=False),
     Rule("TXT-SECRET-HEX", "Long hexadecimal string", "CWE-798", "Medium", "[0-9a-f]{32,}", LANGS, confidence="medium", mask=True, superseded_by=("TXT-SECRET-TOKEN",), python_dialect=False),
     Rule("TXT-PII-MAIL", "Mail address", "CWE-359", "Medium", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]*[A-Za-z0-9]", LANGS, python_dialect=False),
-    Rule("TXT-PII-CARD", "Sixteen-digit number", "CWE-311", "Critical", r"\b[0-9]{16}\b", LANGS, python_dialect=False),
-    Rule("TXT-NET-IPV4", "IPv4 address", "CWE-200", "Low", r"\b(?:[0-9]{1,3}[.]){3}[0-9]{1,3}\b", LANGS, suppress_line_if=r"\b127[.]0[.]0[.]1\b", python_dialect=False),
-    Rule("TXT-STYLE-SHOUT", "Shouted words", "CWE-1078", "Informational", r"\b[A-Z]{4,}!!", LANGS, once_per_file=True, python_dialect=False),
+    Rule("TXT-PII-CARD", "Number of sixteen digits or more", "CWE-311", "Critical", "[0-9]{16,19}", LANGS, python_dialect=False),
+    Rule("TXT-NET-IPV4", "IPv4 address", "CWE-200", "Low", "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}", LANGS, suppress_line_if="127[.]0[.]0[.]1", python_dialect=False),
+    Rule("TXT-STYLE-SHOUT", "Shouted words", "CWE-1078", "Informational", "[A-Z]{4,}!!", LANGS, once_per_file=True, python_dialect=False),
     Rule("TXT-STYLE-SYMBOLS", "Symbols in a row", "CWE-1078", "Informational", r"[#*$%&]{3}", LANGS, once_per_file=True, requires_in_file=r"[#*$%&]{3}\s+\S+[#*$%&]{3}", python_dialect=False),
     Rule("TXT-LICENSE-LINE", "License line", "CWE-1357", "Low", r"(?:[Ll]icensed|[Cc]opyright) ", ("en",), suppress_if=r"All rights waived", python_dialect=False),
 )

@@ -112,7 +112,7 @@ ORACLE_SQL = {
     "q34_sbom_components": """WITH r AS (SELECT l_partkey, max(l_linenumber) AS a, max(l_suppkey) AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1), t AS (SELECT '@' || lower(replace(p_brand, '#', '')) || '/part-' || p_partkey AS name, CASE WHEN a IS NULL THEN '' ELSE a || '.' || b END AS version FROM part LEFT JOIN r ON p_partkey = l_partkey)
  SELECT name, version, 'pkg:npm/' || replace(name, '@', '%40') || CASE WHEN version <> '' THEN '@' || version ELSE '' END AS purl, regexp_replace('Package-' || name, '[^A-Za-z0-9.-]', '-', 'g') AS spdx_id, version = '' AS unresolved FROM t""",
     "q35_comment_views": "SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->'))::BIGINT AS n_comments, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->'), lambda x: length(x))), 0)::BIGINT AS comment_chars, length(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'))::BIGINT AS left_chars FROM pages",
-    "q37_php_paths": """WITH n AS (SELECT 'src/' || regexp_replace(lower(n_name), '[^a-z]', '_', 'g') || '.php' AS file, n_regionkey % 5 + 1 AS k FROM nation)
+    "q37_php_paths": """WITH n AS (SELECT 'src/n' || n_nationkey || '.php' AS file, n_regionkey % 5 + 1 AS k FROM nation)
  SELECT ['TAINT-PHP-SQLI', 'TAINT-PHP-LFI', 'TAINT-PHP-CMDI', 'TAINT-PHP-PATH', 'TAINT-PHP-XSS'][k] AS sink_id, ['CWE-89', 'CWE-98', 'CWE-78', 'CWE-22', 'CWE-79'][k] AS cwe, ['Critical', 'Critical', 'Critical', 'High', 'High'][k] AS severity, 'medium' AS confidence, file, 5::BIGINT AS line,
  '$x (from a superglobal)' AS source, 2::BIGINT AS source_line, ['$db->q("SELECT a FROM b WHERE c=$x");', 'include $x;', 'system($x);', 'unlink($x);', 'echo $x;'][k] AS evidence, '$id = $_GET["id"];' AS source_evidence FROM n""",
     "q38_module_fixpoint": """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + n_regionkey) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 1) % 25 FROM nation WHERE n_regionkey = 1),
