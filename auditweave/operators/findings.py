@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +54,33 @@ def corroborated(findings: DataFrame, order: Sequence[str], window: int = CORROB
     """Pairs each non-taint row with at most one taint row of the same file and cwe, nearest lines first, then by order.
 
     The pattern row takes the taint path, and high confidence if the path has it; absorbed taint rows go. Candidates never
-    cross (file, cwe), so the greedy choice runs group by group in Arrow batches. Needs taint_path and confidence."""
-    schema = findings.schema
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
-        taint = rows["source"] == "taint"
-        p, q = rows.index[~taint], rows.index[taint]
-        near = sorted((abs(int(rows.at[i, "line"]) - int(rows.at[j, "line"])), i, j) for i in p for j in q if abs(int(rows.at[i, "line"]) - int(rows.at[j, "line"])) <= window)
+    cross (file, cwe). Many small groups share a slot, so Python is called once for a slot and not for every group; slots
+    follow spark.sql.shuffle.partitions. Needs taint_path and confidence."""
+    schema, names = findings.schema, findings.columns
+    slots = 4 * int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = {n: names.index(n) for n in (*order, "file", "cwe", "source", "line", "confidence", "taint_path")}
+
+    def pair(rows: list[list]) -> list[list]:
+        rows.sort(key=lambda r: tuple(r[at[o]] for o in order))
+        taint = [r[at["source"]] == "taint" for r in rows]
+        near = sorted((d, i, j) for i, p in enumerate(rows) if not taint[i] for j, q in enumerate(rows) if taint[j] and (d := abs(p[at["line"]] - q[at["line"]])) <= window)
         used: set[int] = set()
         for _, i, j in near:
             if i not in used and j not in used:
                 used |= {i, j}
-                rows.at[i, "taint_path"] = rows.at[j, "taint_path"]
-                if rows.at[j, "confidence"] == "high":
-                    rows.at[i, "confidence"] = "high"
-        return rows[~(taint & rows.index.isin(used))]
-
-    return findings.groupBy("file", "cwe").applyInPandas(pair, schema)
+                rows[i][at["taint_path"]] = rows[j][at["taint_path"]]
+                if rows[j][at["confidence"]] == "high":
+                    rows[i][at["confidence"]] = "high"
+        return [r for i, r in enumerate(rows) if not (taint[i] and i in used)]
+
+    def slot(table: pa.Table) -> pa.Table:
+        groups: dict[tuple, list[list]] = defaultdict(list)
+        for r in zip(*(table.column(n).to_pylist() for n in names), strict=True):
+            groups[r[at["file"]], r[at["cwe"]]].append(list(r))
+        out = [r for g in groups.values() for r in (pair(g) if len(g) > 1 else g)]
+        return pa.table([pa.array([r[k] for r in out], table.schema.field(n).type) for k, n in enumerate(names)], names)
+
+    return findings.withColumn("_slot", F.pmod(F.xxhash64("file", "cwe"), F.lit(slots))).groupBy("_slot").applyInArrow(slot, schema)
 
 
 def by_severity(findings: DataFrame, then: Sequence[str | Column] = ("file", "line")) -> DataFrame:
