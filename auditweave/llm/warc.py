@@ -44,19 +44,26 @@ def resolved(text: Column) -> Column:
         letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.replace(acc, e, letter)).otherwise(acc)
 
-    text = F.when(F.regexp_like(text, F.lit(NUMERIC)), F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))), text, one)).otherwise(text)
-    for name, letter in NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = F.when(F.contains(text, F.lit("&#")), F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))), text, one)).otherwise(text)
+    named = text
+    for name, letter in {**NAMED, "&amp;": "&"}.items():
+        named = F.replace(named, F.lit(name), F.lit(letter))
+    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    t = F.regexp_replace(html, COMMENT, " ")
-    t = F.regexp_replace(t, UNSEEN, " ")
-    t = F.regexp_replace(t, LINES, "\n")
-    t = resolved(F.regexp_replace(t, TAG, ""))
-    t = F.regexp_replace(t, r"[ \t\r\f\x0B]+", " ")
-    return F.trim(F.regexp_replace(t, r" *\n[ \n]*", "\n"), F.lit(" \n"))
+def bare_html(html: Column) -> Column:
+    """Without comments and what is never shown."""
+    return F.regexp_replace(F.regexp_replace(html, COMMENT, " "), UNSEEN, " ")
+
+
+def tagless(bare: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(bare, LINES, "\n"), TAG, "")
+
+
+def tidied(text: Column) -> Column:
+    """Blanks as one space (single spaces are left alone, which is most of them), lines without blanks around, no empty lines."""
+    t = F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def one_line(text: Column) -> Column:
@@ -74,10 +81,11 @@ def derivatives(source: DataFrame) -> DataFrame:
     """Two rows for each response: source_id, record_id, type, refers_to, target_uri, content_type, content_length, block_digest, source_digest, n_links, record."""
     digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
     html = F.col("payload")
-    links = F.transform(F.regexp_extract_all(F.regexp_replace(F.regexp_replace(html, COMMENT, " "), UNSEEN, " "), F.lit(LINK), F.lit(1)), lambda x: one_line(resolved(x)))
+    source = source.withColumn("bare", bare_html(html)).withColumn("tagless", tagless(F.col("bare")))  # each computed once
+    links = F.transform(F.regexp_extract_all("bare", F.lit(LINK), F.lit(1)), lambda x: one_line(resolved(x)))
     source_type = F.regexp_extract("http_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1)
     rows = source.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", source_type.alias("source_type"), digest(html).alias("source_digest"), links.alias("links"),
-                         one_line(resolved(F.regexp_extract(html, TITLE, 1))).alias("title"), F.regexp_extract(html, LANGUAGE, 1).alias("language"), plain_text(html).alias("text"))
+                         one_line(resolved(F.regexp_extract(html, TITLE, 1))).alias("title"), F.regexp_extract(html, LANGUAGE, 1).alias("language"), tidied(resolved(F.col("tagless"))).alias("text"))
     ids = {k: uuid_of(F.lit(k), "refers_to", "source_digest") for k in ("metadata", "conversion")}
     field = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))).otherwise("")
     fields = F.concat(field("title", F.col("title")), field("language", F.col("language")), F.array_join(F.transform("links", lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))
