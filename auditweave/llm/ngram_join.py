@@ -38,6 +38,8 @@ from auditweave.llm.shared import cut
 WIDTH, PERCENT = 5, 80
 #: Members of a group that one task searches at once, twice as many for a pair of parts.
 CAP, FAN = 1024, 8
+#: Ids that are broadcast at most (some MB); beyond, the same join is by shuffle.
+FEW = 200_000
 SENT = "bucket int, block int, values binary, extra binary"
 ANSWER = "block int, stage int, bucket int, answer binary"
 
@@ -155,7 +157,11 @@ def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 keep.append(may_link(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     sets = reps.select("rep", "members", "n")
+    if ends.limit(FEW + 1).count() <= FEW:  # few sets are asked for: only these are shuffled
+        sets = sets.join(F.broadcast(ends), "rep", "left_semi")
     x, y = (sets.select(F.col("rep").alias(k), F.col("members").alias(f"m{k}"), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
     both = pairs.join(x, "a").join(y, "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     return both.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
@@ -327,6 +333,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = cut(near_duplicates(docs, id_col, text_col, width, percent)).filter("doc_id is not null")
     again = found.groupBy("doc_id").agg(F.count("*").alias("many"), F.min("component_id").alias("comp"))
     leaving = again.filter("many > 1 or comp <> doc_id").select(F.col("doc_id").alias("_leaving"))
+    leaving = F.broadcast(leaving) if leaving.limit(5 * FEW + 1).count() <= 5 * FEW else leaving
     stay = docs.join(leaving, F.col(id_col) == F.col("_leaving"), "left_anti")
     repeated = again.filter("many > 1 and comp = doc_id").select(F.col("doc_id").alias("_repeated"))
     if repeated.limit(1).count():
