@@ -31,7 +31,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{
 UNUSUAL = regex.compile(r"[^\x00-\u012f\u0131-\u024f]")
 END = "</w>"
 #: Words and pairs remembered by one Python worker; beyond, the memory starts anew, results stay the same.
-WORD_CACHE, PAIR_CACHE = 600_000, 2_000_000
+WORD_CACHE, PAIR_CACHE = 450_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -57,7 +57,8 @@ class SpeculativeBpe:
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.size = max(self.names) + 1
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.ids_of: dict[str, str] = {}
+        self.names_of: dict[str, str] = {}
         self.alone: dict[int, bool] = {}
         self.good = self.bad = np.empty(0, np.int64)
         self.path, self._library = path, None
@@ -145,9 +146,10 @@ class SpeculativeBpe:
 
     def learn(self, words: set[str]) -> None:
         """Fill the memory for new words."""
-        if len(self.words) + len(words) > WORD_CACHE:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
+        if len(self.ids_of) + len(words) > WORD_CACHE:
+            self.ids_of.clear()
+            self.names_of.clear()
+        new = list(words - self.ids_of.keys())
         parts = [self.symbols(w) for w in new]
         ids = [self.greedy(s) for s in parts]
         n = np.fromiter((len(x) if x else 0 for x in ids), np.int64, len(ids))
@@ -166,7 +168,7 @@ class SpeculativeBpe:
             if no:
                 self.merged_exactly += 1
                 x = self.merge(s)
-            self.words[w] = (len(x), " ".join(map(str, x)), " ".join(self.names[t] for t in x))
+            self.ids_of[w], self.names_of[w] = " ".join(map(str, x)), " ".join([self.names[t] for t in x])
 
     # --- texts
 
@@ -179,12 +181,15 @@ class SpeculativeBpe:
             else:
                 cut.append([(t, 0)])
         pieces = [[([p] if is_special else self.pieces(p), is_special) for p, is_special in parts] for parts in cut]
+        self.learn(set().union(*(ws for parts in pieces for ws, is_special in parts if not is_special)))
         out: list[tuple[int, str, str]] = []
-        self.learn({w for parts in pieces for ws, is_special in parts if not is_special for w in ws})
-        memory, special = self.words, {s: (1, str(i), s) for s, i in self.special.items()}
         for parts in pieces:
-            found = [special[w] if is_special else memory[w] for ws, is_special in parts for w in ws]
-            out.append((sum(x[0] for x in found), " ".join(x[1] for x in found), " ".join(x[2] for x in found)))
+            ids, names = [], []
+            for ws, is_special in parts:
+                ids += [str(self.special[ws[0]])] if is_special else map(self.ids_of.__getitem__, ws)
+                names += ws if is_special else map(self.names_of.__getitem__, ws)
+            text = " ".join(ids)
+            out.append((text.count(" ") + bool(text), text, " ".join(names)))
         return out
 
 

@@ -34,7 +34,7 @@ def test_matches_library_on_random_words(library):
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(1, 60))) for _ in range(3000)]
     bpe = SpeculativeBpe(PATH)
     assert bpe.encode_batch(texts) == [expected(library, t) for t in texts]
-    assert 0 < bpe.merged_exactly < len(bpe.words)
+    assert 0 < bpe.merged_exactly < len(bpe.ids_of)
 
 
 def test_query_rows(spark, library):
