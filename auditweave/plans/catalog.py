@@ -65,7 +65,7 @@ def q07_dedupe_pipeline(spark, sf_dir):
 
 @query
 def q08_corroborate_nearest(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     tainted = F.col("l_partkey") % 2 == 0
     rows = lines.select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_returnflag").alias("cwe"), F.col("l_linenumber").cast("long").alias("line"), F.when(tainted, "taint").otherwise("builtin").alias("source"), F.when(F.col("l_tax") > 0.04, "high").otherwise("medium").alias("confidence"),
                         F.when(tainted, F.col("l_suppkey").cast("string")).otherwise("").alias("taint_path"), F.col("l_partkey").alias("seq"))
