@@ -12,6 +12,8 @@ repeated rows give repeated records; an empty table gives none; extra columns ar
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,12 @@ TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANGUAGE = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)"""
 LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""
 NUMERIC = r"&#[xX]?[0-9a-fA-F]{1,6};"
-#: Named character references that are resolved, & last.
+#: The names that OP7 in sql.py resolves; the operator resolves all of HTML5.
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&eacute;": "é", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&euro;": "€"}
+#: What may be a character reference; a name takes the = after it, which tells a parameter in an address from a reference.
+REFERENCE = r"&(?:#[xX]?[0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*[;=]?)"
+#: The names that HTML resolves without a semicolon too, longest first.
+OPEN_NAME = "^&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 
 
 def uuid_of(*parts: Column) -> Column:
@@ -34,21 +40,37 @@ def uuid_of(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def resolved(text: Column) -> Column:
-    """Character references resolved; numeric ones outside Unicode stay."""
+def named_references() -> Column:
+    """All names of HTML5 as one literal map; no-break spaces become plain ones."""
+    return F.str_to_map(F.lit("\x01".join(f"&{n}\x02{' ' if c == chr(0xA0) else c}" for n, c in html5.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def resolved(text: Column, attribute: bool = False) -> Column:
+    """Character references resolved, each once and from left to right; numeric ones outside Unicode and unknown names stay.
 
-    def one(acc: Column, e: Column) -> Column:
+    Outside attributes a name without semicolon counts even as the beginning of a longer word, as in HTML."""
+    names = named_references()
+
+    def numeric(e: Column) -> Column:
         body = e.substr(F.lit(3), F.length(e) - 3)
         code = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(F.expr("null")).cast("long")
         code = F.coalesce(code, body.try_cast("long"))
         letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.replace(acc, e, letter)).otherwise(acc)
+        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), letter).otherwise(e)
+
+    def named(e: Column) -> Column:
+        head = F.regexp_extract(e, OPEN_NAME, 0)
+        begun = F.lit(None).cast("string") if attribute else F.concat(F.try_element_at(names, head), e.substr(F.length(head) + 1, F.length(e)))
+        return F.coalesce(F.try_element_at(names, e), begun, e)
+
+    def joined(found: Column) -> Column:
+        distinct = F.array_distinct(found)
+        known = F.map_from_arrays(distinct, F.transform(distinct, lambda e: F.when(e.startswith("&#"), numeric(e)).otherwise(named(e))))
+        # one map for the text, not one for each reference
+        return F.element_at(F.transform(F.array(known), lambda m: F.array_join(F.zip_with(F.split(text, REFERENCE, -1), found, lambda t, e: F.concat(t, F.coalesce(F.try_element_at(m, e), F.lit("")))), "")), 1)
 
-    text = F.when(F.contains(text, F.lit("&#")), F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))), text, one)).otherwise(text)
-    named = text
-    for name, letter in {**NAMED, "&amp;": "&"}.items():
-        named = F.replace(named, F.lit(name), F.lit(letter))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.element_at(F.transform(F.array(found), joined), 1)).otherwise(text)
 
 
 def bare_html(html: Column) -> Column:
@@ -82,7 +104,7 @@ def derivatives(source: DataFrame) -> DataFrame:
     digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
     html = F.col("payload")
     source = source.withColumn("bare", bare_html(html)).withColumn("tagless", tagless(F.col("bare")))  # each computed once
-    links = F.transform(F.regexp_extract_all("bare", F.lit(LINK), F.lit(1)), lambda x: one_line(resolved(x)))
+    links = F.transform(F.regexp_extract_all("bare", F.lit(LINK), F.lit(1)), lambda x: one_line(resolved(x, attribute=True)))
     source_type = F.regexp_extract("http_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1)
     rows = source.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", source_type.alias("source_type"), digest(html).alias("source_digest"), links.alias("links"),
                          one_line(resolved(F.regexp_extract(html, TITLE, 1))).alias("title"), F.regexp_extract(html, LANGUAGE, 1).alias("language"), tidied(resolved(F.col("tagless"))).alias("text"))
