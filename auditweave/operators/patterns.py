@@ -18,7 +18,6 @@ from auditweave.functions.text import DIALECT, DIALECT_CASED, evidence, line_at,
 #: What marks a path as not production. Fragments anywhere; then starts or ends of the base name.
 NOT_PRODUCTION = ("/tests/", "/test/", "/migrations/", "/fixtures/", "/scripts/", "/examples/", "/samples/", "/benchmarks/", "/management/commands/", "/seeders/", "/seeds/", "/factories/")
 NOT_PRODUCTION_NAMES = ("test_", "_test.py", "tests.py", "test.py", "conftest.py", "seed.py", "seeds.py", "seed_", "_seed.py", "seeds.rb", "_factory.py")
-MAX_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -85,7 +84,7 @@ def pattern_findings(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str
     view = F.col("code_view") if "code_view" in files.columns else F.lit(None).cast("string")
     base, production = F.regexp_extract("file", r"([^/]*)$", 1), is_production(F.col("file"))
     every = F.flatten(F.array(*(rule_matches(r, i, F.col("text"), view, F.col("ext"), base, production) for i, r in enumerate(rules))))
-    hit = files.filter(F.octet_length("text") <= MAX_BYTES).select("file", "text", *keep, F.explode(every).alias("m"))
+    hit = files.select("file", "text", *keep, F.explode(every).alias("m"))
     of = lambda name: F.element_at(F.array(*(F.lit(getattr(r, name)) for r in rules)), F.col("m.rule_ord") + 1)
     shown = F.when(of("mask"), F.lit("[redacted]")).otherwise(evidence(line_at(F.col("text"), F.col("m.line"))))
     return hit.select(
