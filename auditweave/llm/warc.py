@@ -22,10 +22,13 @@ NO_DATE = "1970-01-01T00:00:00Z"
 COMMENT = r"(?s)<!--.*?-->"
 UNSEEN = r"(?is)<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>"
 LINES = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|title|head|body|html|blockquote|pre|form)\b[^>]*>"
+#: TAG and LINK are what OP7 in sql.py uses; the operator takes MARKUP and HREF, in which a < before a blank is text and each quote ends at its own kind.
 TAG = r"<[^>]*>"
+MARKUP = r"<[a-zA-Z/!?][^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANGUAGE = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)"""
 LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 NUMERIC = r"&#[xX]?[0-9a-fA-F]{1,6};"
 #: The names that OP7 in sql.py resolves; the operator resolves all of HTML5.
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&eacute;": "é", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&euro;": "€"}
@@ -79,7 +82,11 @@ def bare_html(html: Column) -> Column:
 
 
 def tagless(bare: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(bare, LINES, "\n"), TAG, "")
+    return F.regexp_replace(F.regexp_replace(bare, LINES, "\n"), MARKUP, "")
+
+
+def unquoted(value: Column) -> Column:
+    return F.when(value.startswith('"') | value.startswith("'"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def tidied(text: Column) -> Column:
@@ -104,7 +111,7 @@ def derivatives(source: DataFrame) -> DataFrame:
     digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
     html = F.col("payload")
     source = source.withColumn("bare", bare_html(html)).withColumn("tagless", tagless(F.col("bare")))  # each computed once
-    links = F.transform(F.regexp_extract_all("bare", F.lit(LINK), F.lit(1)), lambda x: one_line(resolved(x, attribute=True)))
+    links = F.transform(F.regexp_extract_all("bare", F.lit(HREF), F.lit(1)), lambda x: one_line(resolved(unquoted(x), attribute=True)))
     source_type = F.regexp_extract("http_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1)
     rows = source.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", source_type.alias("source_type"), digest(html).alias("source_digest"), links.alias("links"),
                          one_line(resolved(F.regexp_extract(html, TITLE, 1))).alias("title"), F.regexp_extract(html, LANGUAGE, 1).alias("language"), tidied(resolved(F.col("tagless"))).alias("text"))
