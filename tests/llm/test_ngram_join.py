@@ -76,14 +76,38 @@ def test_trees_lose_no_link(rows):
     rnd = random.Random(1)
     sets = [np.array(sorted({hash(x) & (2**64 - 1) for x in shingles(t)}), np.uint64) for _, t in rows]
     sets = [s for s in sets if len(s)]
-    group = []
-    for k, s in enumerate(sets):
-        bits, width = J.bitmap(s.tobytes())
-        group.append((0, k, k, len(s), bits.to_bytes(width // 8, "little")))
+    group = [(0, k, k, len(s), s.tobytes()) for k, s in enumerate(sets)]
     rnd.shuffle(group)
-    pairs = J.searched(group, False, 80, {})
-    for i in range(len(sets)):
-        for j in range(i):
-            if J.may_link(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
-                assert (i, j) in pairs
-    assert len(pairs) < len(sets) ** 2 / 8
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if J.may_link(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    got = J.searched(group, 80, True)
+    assert set(got) <= links and len(got) < len(sets)
+    assert classes(len(sets), got) == classes(len(sets), links)
+    tested = sum(1 for _ in J.dual(*[J.tree(nodes(group))] * 2, 80, lambda a, b: a == b))
+    assert len(links) <= tested < len(sets) ** 2 / 8
+    half = [(k % 2, *g[1:]) for k, g in enumerate(group)]
+    side = {g[1]: g[0] for g in half}
+    assert classes(len(sets), J.searched(half, 80, False)) == classes(len(sets), [p for p in links if side[p[0]] != side[p[1]]])
+
+
+def nodes(group):
+    out = []
+    for _, rep, comp, n, raw in group:
+        bits = sum({1 << (int.from_bytes(raw[i : i + 8], "little") >> 8) % 1024 for i in range(0, len(raw), 8)})
+        out.append(J.Node(bits, n, n, n, n - bits.bit_count(), comp, rep))
+    return out
+
+
+def classes(n, pairs):
+    root = list(range(n))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+
+def test_one_row_of_each_component_and_clashing_columns(spark, rows):
+    df = spark.createDataFrame([(*r, k, "p") for k, r in enumerate(rows)], "doc_id long, text string, leaving long, _place string").repartition(4)
+    got = J.deduplicated(df).collect()
+    low = {d: c for _, d, _, c in brute(rows) if c is not None}
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(d for d, c in low.items() if d == c)
+    assert all(rows[r.leaving] == (r.doc_id, r.text) and r._place == "p" for r in got)
