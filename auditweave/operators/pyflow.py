@@ -1,27 +1,13 @@
-"""Python data-flow findings: one Arrow pass over files, no shuffle."""
+"""Python data-flow paths: the project flow over Python files."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.functions import levels, pyflow
-from auditweave.operators.patterns import is_production
-
-SCHEMA = "file string, sink_id string, cwe string, severity string, line int, source string, source_line int, kind string"
+from auditweave.operators.flow import project_paths
 
 
 def python_paths(files: DataFrame) -> DataFrame:
     """files: file, text. Production Python files only. severity is one rung lower for paths that start at a parameter."""
-
-    def run(batches):
-        for b in batches:
-            rows = [(f, *p) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in pyflow.paths(t or "")]
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            types = [pa.int32() if k in (4, 6) else pa.string() for k in range(8)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
-
-    python = files.filter(F.col("file").endswith(".py") & is_production(F.col("file"))).select("file", "text")
-    found = python.mapInArrow(run, SCHEMA).withColumn("confidence", F.when(F.col("kind") == "request", "high").otherwise("medium"))
-    return found.withColumn("severity", levels.by_confidence(F.col("severity"), F.col("confidence")))
+    return project_paths(files.filter(F.lower("file").endswith(".py")))
