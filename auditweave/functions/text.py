@@ -15,18 +15,25 @@ def newlines(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,line,text>> of all matches, left to right; start counts code points from 0, line from 1. No zero-width patterns."""
-    hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    """array<struct<start,line,text>> of all matches, left to right; start counts code points from 0, line from 1. No zero-width patterns.
+
+    The matches and the pieces between them are computed once each, and only for a text that matches."""
 
     def step(acc: Column, x: Column) -> Column:
         start, line = acc["at"] + F.length(x["p"]), acc["line"] + newlines(x["p"])
         one = F.struct(start.alias("start"), line.alias("line"), x["h"].alias("text"))
-        return F.struct((start + F.length(x["h"])).alias("at"), (line + newlines(x["h"])).alias("line"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct((start + F.length(x["h"])).alias("at"), (line + newlines(x["h"])).alias("line"), F.array_append(acc["out"], one).alias("out"))
 
     none = F.array().cast("array<struct<start:int,line:int,text:string>>")
     start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
-    walked = F.aggregate(F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("p"), hits.alias("h")), start, step)["out"]
+    pairs = lambda hits: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("p"), hits.alias("h"))
+    walked = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.aggregate(pairs(hits), start, step)["out"])
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
 
 

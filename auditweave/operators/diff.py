@@ -9,10 +9,10 @@ from auditweave.functions.levels import severity_rank
 from auditweave.functions.text import squeezed
 
 
-def fingerprinted(findings: DataFrame, order: list[str]) -> DataFrame:
-    """Adds norm_evidence and ordinal: which of equal (detector_id, file, evidence) rows it is in scan order, from 0."""
+def fingerprinted(findings: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """Adds norm_evidence and ordinal: which of equal (detector_id, file, evidence) rows it is in scan order, from 0; within: columns that part the rows first."""
     rows = findings.withColumn("norm_evidence", squeezed(F.col("evidence")))
-    w = Window.partitionBy("detector_id", "file", "norm_evidence").orderBy(*order)
+    w = Window.partitionBy("detector_id", "file", "norm_evidence", *(within or [])).orderBy(*order)
     return rows.withColumn("ordinal", (F.row_number().over(w) - 1).cast("long"))
 
 
@@ -27,18 +27,27 @@ def sarif_fingerprint(findings: DataFrame, order: list[str]) -> DataFrame:
 KEY = ("detector_id", "file", "norm_evidence", "ordinal")
 
 
+KEPT = ("detector_id", "file", "line", "severity", "evidence")
+
+
 def snapshot_diff(baseline: DataFrame, current: DataFrame, order: list[str]) -> DataFrame:
     """change (introduced, resolved, unchanged, moved, not_compared), the finding, and baseline_line.
 
     A moved row is also unchanged. Findings of dependencies (package set) are carried as not_compared from the current side."""
-    package = lambda df: F.col("package") if "package" in df.columns else F.lit("")
-    old, new = (fingerprinted(df.filter(package(df) == ""), order) for df in (baseline, current))
-    kept = ["detector_id", "file", "line", "severity", "evidence"]
-    row = lambda df, change, line: df.select(F.lit(change).alias("change"), *kept, line.cast("long").alias("baseline_line"))
-    both = new.join(old.select(*KEY, F.col("line").alias("_was")), [*KEY])
-    out = row(new.join(old, [*KEY], "left_anti"), "introduced", F.lit(None)).unionByName(row(old.join(new, [*KEY], "left_anti"), "resolved", F.col("line")))
-    out = out.unionByName(row(both, "unchanged", F.col("_was"))).unionByName(row(both.filter("line <> _was"), "moved", F.col("_was")))
-    return out.unionByName(row(current.filter(package(current) != ""), "not_compared", F.lit(None)))
+    sides = [df.withColumn("package", F.col("package") if "package" in df.columns else F.lit("")).withColumn("side", F.lit(k)) for k, df in enumerate((baseline, current))]
+    columns = list(dict.fromkeys([*KEPT, *order, "package", "side"]))
+    return tagged_diff(sides[0].select(*columns).unionByName(sides[1].select(*columns)), order)
+
+
+def tagged_diff(rows: DataFrame, order: list[str]) -> DataFrame:
+    """snapshot_diff of rows with a column side (0 baseline, 1 current): one shuffle by the fingerprint's columns serves ordinals and comparison."""
+    rows = fingerprinted(rows.withColumn("package", F.coalesce("package", F.lit(""))), order, ["side", "package"])
+    of = lambda k: F.max(F.when(F.col("side") == k, F.struct(*KEPT)))
+    both = rows.groupBy(*KEY, "package").agg(of(0).alias("old"), of(1).alias("new")).filter("package = '' or new is not null")
+    named = lambda *x: F.array(*map(F.lit, x))
+    change = F.when(F.col("package") != "", named("not_compared")).when(F.col("old").isNull(), named("introduced")).when(F.col("new").isNull(), named("resolved")).when(F.col("old.line") != F.col("new.line"), named("unchanged", "moved")).otherwise(named("unchanged"))
+    out = both.select(F.explode(change).alias("change"), F.coalesce("new", "old").alias("row"), F.when(F.col("package") == "", F.col("old.line").cast("long")).alias("baseline_line"))
+    return out.select("change", "row.*", "baseline_line")
 
 
 def ranked_diff(diff: DataFrame) -> DataFrame:

@@ -15,13 +15,20 @@ def suffixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
 
 
+#: Lines of one bin of the range join.
+BIN = 64
+
+
 def label_hits(labels: DataFrame, results: DataFrame, tolerance: int = 0) -> DataFrame:
     """labels: id, file, start_line, end_line, cwes; results: file, line, cwe. id, loose, strict: any result of the file in the region, and one with an accepted weakness.
 
-    A label's file may be a path suffix of the result's. Equality joins on file suffixes; the region is a residual filter."""
-    there = results.select(F.explode(suffixes(F.col("file"))).alias("file"), F.col("line").alias("_line"), F.col("cwe").alias("_cwe"))
-    inside = F.col("_line").between(F.col("start_line") - tolerance, F.col("end_line") + tolerance)
-    hit = labels.select("id", "file", "start_line", "end_line", "cwes").join(there, "file").filter(inside).groupBy("id").agg(F.lit(True).alias("_l"), F.bool_or(F.array_contains("cwes", F.col("_cwe"))).alias("_s"))
+    A label's file may be a path suffix of the result's. Equality joins on file suffixes and bins of ``BIN`` lines, a region
+    standing in every bin that it touches; equal results of a line are one."""
+    bin_of = lambda line: F.floor(line / BIN).cast("long")
+    there = results.select("file", F.col("line").cast("long").alias("_line"), F.col("cwe").alias("_cwe")).distinct().select(F.explode(suffixes(F.col("file"))).alias("file"), "_line", "_cwe", bin_of(F.col("_line")).alias("_bin"))
+    low, high = F.col("start_line") - tolerance, F.col("end_line") + tolerance
+    regions = labels.select("id", "file", low.alias("_low"), high.alias("_high"), "cwes", F.explode(F.when(low <= high, F.sequence(bin_of(low), bin_of(high)))).alias("_bin"))
+    hit = regions.join(there, ["file", "_bin"]).filter(F.col("_line").between(F.col("_low"), F.col("_high"))).groupBy("id").agg(F.lit(True).alias("_l"), F.bool_or(F.array_contains("cwes", F.col("_cwe"))).alias("_s"))
     return labels.join(hit, "id", "left").withColumn("loose", F.coalesce("_l", F.lit(False))).withColumn("strict", F.coalesce("_s", F.lit(False))).drop("_l", "_s")
 
 

@@ -37,11 +37,11 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pattern tier and two tiers that other tools would give over the same files: rows at lines that the text's numbers choose."""
-    base = scan(spark, sf_dir).withColumn("tier", F.lit(0))
-    again = base.filter("doc_id % 2 = 0").withColumn("tier", F.lit(1)).withColumn("source", F.lit("gitleaks")).withColumn("evidence", F.lit("tool"))
-    third = base.filter("doc_id % 3 = 0").withColumn("tier", F.lit(2)).withColumn("source", F.lit("taint")).withColumn("detector_id", F.concat(F.lit("T-"), "detector_id"))
-    return base.unionByName(again).unionByName(third)
+    """The pattern tier and two tiers that other tools would give over the same files, from one scan: each finding is repeated for the tiers that its document's number chooses."""
+    of_doc = lambda k, n: F.when(F.col("doc_id") % n == 0, F.array(F.lit(k))).otherwise(F.array().cast("array<int>"))
+    rows = scan(spark, sf_dir).withColumn("tier", F.explode(F.concat(F.array(F.lit(0)), of_doc(1, 2), of_doc(2, 3))))
+    by_tier = lambda name, second, third: F.when(F.col("tier") == 1, second).when(F.col("tier") == 2, third).otherwise(F.col(name))
+    return rows.withColumns({"source": by_tier("source", F.lit("gitleaks"), F.lit("taint")), "evidence": by_tier("evidence", F.lit("tool"), F.col("evidence")), "detector_id": by_tier("detector_id", F.col("detector_id"), F.concat(F.lit("T-"), "detector_id"))})
 
 
 TIER_ORDER = ["tier", "rule_ord", "start"]

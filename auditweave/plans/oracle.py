@@ -36,7 +36,7 @@ RANK = "CASE severity WHEN 'Critical' THEN 5 WHEN 'High' THEN 4 WHEN 'Medium' TH
 SRANK = "CASE source WHEN 'gitleaks' THEN 4 WHEN 'taint' THEN 3 WHEN 'builtin' THEN 1 ELSE 0 END"
 FIRST = "first_ AS MATERIALIZED (SELECT * FROM tiers QUALIFY row_number() OVER (PARTITION BY detector_id, file, line ORDER BY tier, rule_ord, start) = 1)"
 DEDUPED = TIERS + ", " + FIRST + f""", top_ AS MATERIALIZED (SELECT * FROM first_ QUALIFY {SRANK} = max({SRANK}) OVER (PARTITION BY file, line, cwe)),
-  deduped AS MATERIALIZED (SELECT * FROM top_ a WHERE NOT (detector_id = 'TXT-SECRET-HEX' AND EXISTS (SELECT 1 FROM top_ b WHERE b.file = a.file AND b.line = a.line AND b.detector_id = 'TXT-SECRET-TOKEN')))"""
+  deduped AS MATERIALIZED (SELECT a.* FROM top_ a LEFT JOIN (SELECT DISTINCT file AS bf, line AS bl FROM top_ WHERE detector_id = 'TXT-SECRET-TOKEN') b ON a.file = bf AND a.line = bl WHERE NOT (detector_id = 'TXT-SECRET-HEX' AND bf IS NOT NULL))"""
 LADDER = "['Critical', 'High', 'Medium', 'Low', 'Informational']"
 VEX = f"""u AS (SELECT l_partkey AS k, count(*) FILTER (o_orderstatus = 'F') AS run, count(*) FILTER (o_orderstatus <> 'F') AS dev FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 47 GROUP BY 1),
  v AS (SELECT p_partkey::VARCHAR AS package, p_partkey % 11 <> 0 AS indexable, p_size % 5 + 1 AS sev, coalesce(run, 0) AS run, coalesce(dev, 0) AS dev, p_size % 3 = 0 AS in_dev, p_size % 3 = 1 AS in_run FROM part LEFT JOIN u ON p_partkey = k),
@@ -74,7 +74,7 @@ ORACLE_SQL = {
     "q03_once_per_file": f"WITH {SCAN} SELECT {SHOWN} FROM scan QUALIFY row_number() OVER (PARTITION BY file, detector_id ORDER BY start) = 1",
     "q04_first_wins_dedupe": f"WITH {TIERS}, {FIRST} SELECT {SHOWN} FROM first_",
     "q05_top_source_filter": f"WITH {TIERS} SELECT {SHOWN} FROM tiers QUALIFY {SRANK} = max({SRANK}) OVER (PARTITION BY file, line, cwe)",
-    "q06_superseded_anti_join": f"WITH {SCAN} SELECT {SHOWN} FROM scan a WHERE NOT (detector_id = 'TXT-SECRET-HEX' AND EXISTS (SELECT 1 FROM scan b WHERE b.file = a.file AND b.line = a.line AND b.detector_id = 'TXT-SECRET-TOKEN'))",
+    "q06_superseded_anti_join": f"WITH {SCAN} SELECT {SHOWN} FROM scan a LEFT JOIN (SELECT DISTINCT file AS bf, line AS bl FROM scan WHERE detector_id = 'TXT-SECRET-TOKEN') b ON a.file = bf AND a.line = bl WHERE NOT (detector_id = 'TXT-SECRET-HEX' AND bf IS NOT NULL)",
     "q07_dedupe_pipeline": f"WITH {DEDUPED} SELECT {SHOWN} FROM deduped",
     "q09_ranked_top_k": f"WITH {DEDUPED} SELECT {SHOWN} FROM deduped ORDER BY {RANK} DESC, file, line, detector_id, source LIMIT 10",
     "q10_vex_classify": f"WITH {VEX} SELECT vex_status, vex_justification, indexable, count(*) AS n FROM y GROUP BY ALL",
