@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from auditweave.llm import bpe as bpe_module
 from auditweave.llm.bpe import SpeculativeBpe, bpe_round_trip
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -34,7 +35,34 @@ def test_matches_library_on_random_words(library):
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(1, 60))) for _ in range(3000)]
     bpe = SpeculativeBpe(PATH)
     assert bpe.encode_batch(texts) == [expected(library, t) for t in texts]
-    assert 0 < bpe.merged_exactly < len(bpe.ids_of)
+    assert 0 < bpe.merged_exactly < len(bpe.words.young)
+
+
+def test_a_full_memory_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe_module, "MEMORY", 40)
+    monkeypatch.setattr(bpe_module, "PAIR_CACHE", 10)
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abehiort", k=rnd.randint(1, 70))) for _ in range(120)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 30))) for _ in range(200)]
+    bpe = SpeculativeBpe(PATH)
+    assert [x for i in range(0, 200, 7) for x in bpe.encode_batch(texts[i : i + 7])] == [expected(library, t) for t in texts]
+
+
+def test_greedy_cut_is_longest_match_from_the_left():
+    bpe, rnd = SpeculativeBpe(PATH), random.Random(9)
+    words = ["".join(rnd.choices("aehinorstl'", k=rnd.randint(1, 14))).encode() for _ in range(500)]
+    ids, owner = bpe.greedy(words)
+    covered = 0
+    for k, w in enumerate(words):
+        s, want = "".join(bpe.letters[c] for c in w) + "</w>", []
+        while s:
+            n = max(n for n in range(1, len(s) + 1) if s[:n] in bpe.vocab and (n == len(s) or n <= len(s) - 5))
+            want.append(bpe.vocab[s[:n]])
+            s = s[n:]
+        got = ids[owner == k].tolist()
+        assert got in (want, [])  # a word that the automaton leaves a gap in is merged exactly
+        covered += got == want
+    assert covered > 450
 
 
 def test_query_rows(spark, library):
