@@ -7,9 +7,10 @@ leaves one fractional document at most; these meet in the next level, ``FAN`` le
 (a distributed reduction tree, log_FAN levels, every group bounded). The source's last fraction is rounded to the nearest
 copy, and the words so gained or lost are settled against the one document whose size fits them best.
 
-Only DataFrame functions are used. Random numbers are hashes of doc_ids, so reruns agree. Edge cases: a null source is a
-source of its own, last in order; null and empty texts have size 0 and are never taken; repeated rows are documents of
-their own; an empty table gives an empty table; extra columns are ignored.
+Only DataFrame functions are used. Random numbers are hashes of doc_id, text and, for rows equal in both, their number, so
+reruns agree and no leaf grows with repeated ids. Edge cases: a null source is a source of its own, last in order; null and
+empty texts have size 0 and are never taken; a text of any length is one document; null and repeated doc_ids and repeated
+rows are documents of their own; ties go by these hashes; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.llm.shared import cut
+from auditweave.llm.shared import cut, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 FAN, MOST, SEED = 64, 3, 20240229
@@ -32,19 +33,44 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     )
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds sums over all rows before this one in the order: by ranges, then over the totals of the ranges (a row a partition)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("range").agg(*(F.sum(c).alias(f"{k}_all") for k, c in sums.items()))
+    offsets = totals.select("range", *(F.coalesce(F.sum(f"{k}_all").over(before(Window.orderBy("range"))), F.lit(0)).alias(f"{k}_off") for k in sums))
+    inside = before(Window.partitionBy("range").orderBy(*order))
+    return placed.join(F.broadcast(offsets), "range").select(*rows.columns, *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{k}_off")).alias(k) for k, c in sums.items()))
+
+
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
     """source, source_size, n, target: shares by weight of all sizes, stopped at ``most`` times the source's size.
 
     Reshared excess settles at one level of words per weight; the sources that stop are those with the least size per weight."""
-    by_name, by_room = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("room", F.col("source").asc_nulls_last())
-    so_far = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double")
-    s = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n")).withColumn("weight", w)
+    s = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
+    name = F.col("source").asc_nulls_last()
+    s = running(s, [name], place=F.lit(1))
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double"))
     s = s.withColumn("cap", most * F.col("source_size").cast("double")).withColumn("room", F.col("cap") / F.col("weight"))
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(so_far), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(so_far), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "level"))).over(everything)["level"])
-    return s.select("source", "source_size", "n", F.least(F.col("cap"), F.col("level") * F.col("weight")).alias("target"))
+    s = cut(running(s, [F.col("room"), name], capped=F.col("cap"), used=F.col("weight")))
+    words, shares = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    s = s.withColumn("level", (F.lit(float(words or 0)) - F.col("capped")) / (F.lit(float(shares or 0)) - F.col("used")))
+    level = s.agg(F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "level")))["level"]).first()[0]
+    return s.select("source", "source_size", "n", F.least(F.col("cap"), F.lit(level).cast("double") * F.col("weight")).alias("target"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``k``: which of the rows equal in source, doc_id and text it is, from 0. One task sees such rows of one partition of the input only."""
+    key = ["source", "doc_id", "th"]
+    if not rows.groupBy(*key).count().filter("count > 1").limit(1).count():
+        return rows.withColumn("k", F.lit(0).cast("long"))
+    rows = rows.withColumn("dealt", F.shiftright("rid", 33))
+    before = Window.partitionBy(*key).orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*key, "dealt").agg(F.count("*").alias("many")).select(*(F.col(c).alias(f"of_{c}") for c in [*key, "dealt"]), F.coalesce(F.sum("many").over(before), F.lit(0)).alias("off"))
+    own = (F.row_number().over(Window.partitionBy(*key, "dealt").orderBy("rid")) - 1).cast("long")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in [*key, "dealt"]]
+    return rows.withColumn("own", own).join(offsets, same).withColumn("k", F.col("own") + F.col("off")).select(*[c for c in rows.columns if c != "dealt"], "k")
 
 
 def bind(value: Column, body) -> Column:
@@ -74,7 +100,7 @@ def settle(members: Column, depth: int) -> Column:
 
         mass = F.struct(
             F.least((1 - c["pi"]) * c["size"], e["pi"] * e["size"]).alias("to_c"), F.least(c["pi"] * c["size"], (1 - e["pi"]) * e["size"]).alias("to_e"),
-            (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.lit(depth), c["doc_id"], e["doc_id"]), 11) / float(1 << 53)).alias("u"),
+            (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.lit(depth), c["h"], e["h"]), 11) / float(1 << 53)).alias("u"),
         )
         return bind(mass, outcome)
 
@@ -94,7 +120,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = rows.withColumn("times", times).withColumn("whole", F.floor(F.col("times") + 1e-9).cast("int")).withColumn("pi", F.greatest(F.col("times") - F.col("whole"), F.lit(0.0)))
     part = F.col("pi") > 1e-9
     leaves = F.ceil(F.col("n") / FAN).cast("long")
-    at = rows.filter(part).select("source", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), leaves).alias("leaf"), F.struct(F.xxhash64(F.lit(SEED + 1), "doc_id").alias("h"), "doc_id", "size", "rid", "pi", F.lit(False).alias("settled")).alias("d"))
+    own = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "th", "k")
+    at = numbered(rows.filter(part)).select("source", F.pmod(own(SEED), leaves).alias("leaf"), F.struct(own(SEED + 1).alias("h"), "doc_id", "size", "rid", "pi", F.lit(False).alias("settled")).alias("d"))
     depth, width, done = 0, -(-largest // FAN), []
     while largest:
         group = at.groupBy("source", "leaf").agg(F.array_sort(F.collect_list("d")).alias("members"))
@@ -121,9 +148,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
-    """Each row as often as the mix takes it, all columns as they are."""
-    plan = mixed(docs, id_col, text_col, source_col, weights, most, keep_key=True).groupBy(F.col("doc_id").alias("_of"), F.col("th").alias("_th")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0")
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(plan, F.col(id_col).eqNullSafe(F.col("_of")) & (F.col("_h") == F.col("_th")))
-    k = F.row_number().over(Window.partitionBy("_of", "_th").orderBy(F.lit(0)))  # equal rows share their copies
-    times = (F.floor(F.col("_all") * F.col("_k") / F.col("_rows")) - F.floor(F.col("_all") * (F.col("_k") - 1) / F.col("_rows"))).cast("int")
-    return rows.withColumn("_k", k).withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each row as often as the mix takes it, all columns as they are, whatever their names. Edge cases as above; a document without words is not taken."""
+    of, other, hashed, total, many, k, times, copy = unused(docs, "of", "other", "hashed", "total", "many", "k", "times", "copy")
+    plan = mixed(docs, id_col, text_col, source_col, weights, most, keep_key=True).groupBy(F.col("doc_id").alias(of), F.col("th").alias(other)).agg(F.sum("copies").alias(total), F.count("*").alias(many)).filter(F.col(total) > 0)
+    rows = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(plan, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(hashed) == F.col(other)))
+    rows = rows.withColumn(k, F.row_number().over(Window.partitionBy(of, other).orderBy(F.lit(0))))  # equal rows share their copies
+    upto = lambda n: F.floor(F.col(total) * n / F.col(many))
+    rows = rows.withColumn(times, (upto(F.col(k)) - upto(F.col(k) - 1)).cast("int")).filter(F.col(times) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

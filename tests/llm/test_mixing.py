@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from auditweave.llm.mixing import mixed
+from pyspark.sql import functions as F
+
+from auditweave.llm.mixing import mixed, numbered, resampled, settle, sized
 
 
 def brute_targets(sizes):
@@ -53,3 +55,49 @@ def test_small_tables(spark):
     assert [(r.size, r.source_size, r.target, r.taken) for r in mixed(df).collect()] == [(2, 2, 2.0, 2)]
     assert mixed(df.limit(0)).count() == 0
     assert [r.taken for r in mixed(df.withColumn("text", df.text.substr(1, 0))).collect()] == [0]
+
+
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_hot_ids_share_no_leaf(spark, ids):
+    """20,000 rows of a source without ids, or with one id; half of them with one text."""
+    rows = [(None if ids == "null" else 7, "w " * 3 if i % 2 else f"w{i} " * (1 + i % 9), "a") for i in range(20000)] + [(None, "x " * 5000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixed(df).collect()
+    assert len(got) == len(rows)
+    a = [r for r in got if r.source_size != 5000]
+    assert all(r.taken == r.size * r.copies and 0 <= r.copies <= 3 for r in got)
+    assert abs(sum(r.taken for r in a) - a[0].target) <= 9
+    largest = numbered(sized(df)).groupBy("source", "doc_id", "th", "k").count().agg({"count": "max"}).first()[0]
+    assert largest == 1
+    assert sorted(map(repr, mixed(df.repartition(3)).collect())) == sorted(map(repr, got))
+
+
+def test_a_leaf_keeps_mass_and_leaves_one_fraction(spark):
+    """settle against its contract: sizes and ids kept, mass of the words kept, all but one integral."""
+    rnd = random.Random(5)
+    groups = [[(rnd.randrange(10**9), 100 * g + i, rnd.randint(1, 500), i, rnd.uniform(0.01, 0.99), False) for i in range(rnd.randint(1, 30))] for g in range(40)]
+    df = spark.createDataFrame([(g, m) for g, m in enumerate(groups)], "g int, m array<struct<h:long,doc_id:long,size:long,rid:long,pi:double,settled:boolean>>")
+    for g, out in df.select("g", settle(F.array_sort("m"), 0)).collect():
+        mine = {m[1]: m for m in groups[g]}
+        assert sorted(o.doc_id for o in out) == sorted(mine) and all(o.size == mine[o.doc_id][2] for o in out)
+        assert sum(o.pi * o.size for o in out) == pytest.approx(sum(m[4] * m[2] for m in groups[g]))
+        assert [o.settled for o in out] == [True] * (len(out) - 1) + [False]
+        assert all(o.pi in (0.0, 1.0) for o in out[:-1])
+
+
+def test_expected_copies(spark):
+    """Over many pairs of two documents the mean of what each gets is its fraction."""
+    n = 6000
+    pair = lambda g: [(2 * g, 2 * g, 3, 0, 0.3, False), (2 * g + 1, 2 * g + 1, 5, 1, 0.6, False)]
+    df = spark.createDataFrame([(g, pair(g)) for g in range(n)], "g int, m array<struct<h:long,doc_id:long,size:long,rid:long,pi:double,settled:boolean>>")
+    mean = df.select(F.explode(settle(F.col("m"), 0)).alias("d")).groupBy("d.size").agg(F.avg("d.pi").alias("p")).collect()
+    assert {r.size: round(r.p, 1) for r in mean} == {3: 0.3, 5: 0.6}
+    assert all(abs(r.p - {3: 0.3, 5: 0.6}[r.size]) < 0.02 for r in mean)
+
+
+def test_clashing_columns_pass_through(spark):
+    df = spark.createDataFrame([(i, "a b c", "s" if i % 3 else "t", i, "h", -i, "x") for i in range(60)], "doc_id long, text string, source string, copy int, hashed string, k int, Times string")
+    want = {r.doc_id: r.copies for r in mixed(df).collect()}
+    got = resampled(df).collect()
+    assert {i: n for i, n in want.items() if n} == {i: sum(r.doc_id == i for r in got) for i in {r.doc_id for r in got}}
+    assert all((r.copy, r.hashed, r.k, r.Times) == (r.doc_id, "h", -r.doc_id, "x") for r in got)
