@@ -88,14 +88,16 @@ FROM d LEFT JOIN z USING (rid) LEFT JOIN reach ON reach.x = d.rid
 """
 
 
-def _resolved(x: str) -> str:
+def _resolved(x: str, attribute: bool = False) -> str:
+    """One pass over the pieces between references; table ``n`` holds one map from names to letters."""
     from auditweave.llm import warc as W
 
     code = "coalesce(CASE WHEN lower(e)[3] = 'x' THEN try_cast('0x' || e[4:len(e) - 1] AS BIGINT) END, try_cast(e[3:len(e) - 1] AS BIGINT))"
-    numeric = f"list_reduce(list_prepend({x}, list_distinct(regexp_extract_all({x}, '{W.NUMERIC}'))), lambda acc, e: CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN replace(acc, e, chr({code}::INT)) ELSE acc END)"
-    for name, letter in {**W.NAMED, "&amp;": "&"}.items():
-        numeric = f"replace({numeric}, {_quoted(name)}, {_quoted(letter)})"
-    return numeric
+    number = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::INT) ELSE e END"
+    begun = "NULL" if attribute else f"(m[regexp_extract(e, {_quoted(W.OPEN_NAME)}, 0)] || e[len(regexp_extract(e, {_quoted(W.OPEN_NAME)}, 0)) + 1:])"
+    one = f"CASE WHEN e[2] = '#' THEN {number} ELSE coalesce(m[e], {begun}, e) END"
+    found, pieces = f"regexp_extract_all({x}, {_quoted(W.REFERENCE)})", f"string_split_regex({x}, {_quoted(W.REFERENCE)})"
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string(list_transform(list_zip({pieces}, list_transform({found}, lambda e: {one})), lambda p: coalesce(p[1], '') || coalesce(p[2], '')), '') ELSE {x} END"
 
 
 def _op7() -> str:
@@ -106,21 +108,23 @@ def _op7() -> str:
     bare = f"regexp_replace(regexp_replace(html, {q(W.COMMENT)}, ' ', 'g'), {q(W.UNSEEN)}, ' ', 'g')"
     one_line = lambda x: f"trim(regexp_replace({x}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'), ' ')"
     crlf = "chr(13) || chr(10)"
+    names, letters = (", ".join(q(x) for x in xs) for xs in zip(*((f"&{n}", " " if c == chr(0xA0) else c) for n, c in W.html5.items()), strict=True))
     heads = {
         "WARC-Type": "type", "WARC-Record-ID": "record_id", "WARC-Date": q(W.NO_DATE), "WARC-Target-URI": "target_uri", "WARC-Refers-To": "refers_to", "WARC-Refers-To-Target-URI": "target_uri", "WARC-Refers-To-Date": q(W.NO_DATE),
-        "WARC-Concurrent-To": "other", "X-Source-Content-Type": "'text/html; charset=UTF-8'", "X-Source-Payload-Digest": "source_digest", "WARC-Block-Digest": "'sha256:' || sha256(block)", "Content-Type": "content_type", "Content-Length": "strlen(block)",
+        "WARC-Concurrent-To": "other", "X-Source-Payload-Digest": "source_digest", "WARC-Block-Digest": "'sha256:' || sha256(block)", "Content-Type": "content_type", "Content-Length": "strlen(block)",
+        "X-Source-Content-Type": "'text/html; charset=UTF-8'", "X-Source-Content-Length": "page_length",
     }
     return f"""
-WITH p AS (SELECT page_id AS source_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
+WITH n AS MATERIALIZED (SELECT map([{names}], [{letters}]) AS m), p AS (SELECT page_id AS source_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html FROM pages),
 s AS MATERIALIZED (SELECT source_id, target_uri, 'sha256:' || sha256(html) AS source_digest, {uuid("'response'", "coalesce(source_id::VARCHAR, '')", "target_uri", "sha256(html)")} AS refers_to,
-  regexp_extract_all({bare}, {q(W.LINK)}, 1) AS raw_links, regexp_extract(html, {q(W.TITLE)}, 1) AS raw_title, regexp_extract(html, {q(W.LANGUAGE)}, 1) AS language,
-  regexp_replace(regexp_replace({bare}, {q(W.LINES)}, chr(10), 'g'), {q(W.TAG)}, '', 'g') AS raw_text FROM p),
-t AS MATERIALIZED (SELECT *, list_transform(raw_links, lambda x: {one_line(_resolved('x'))}) AS links, {one_line(_resolved('raw_title'))} AS title,
+  strlen(html) AS page_length, list_transform(regexp_extract_all({bare}, {q(W.HREF)}, 1), lambda x: CASE WHEN x[1] IN (chr(34), chr(39)) THEN x[2:len(x) - 1] ELSE x END) AS raw_links, regexp_extract(html, {q(W.TITLE)}, 1) AS raw_title, regexp_extract(html, {q(W.LANGUAGE)}, 1) AS language,
+  regexp_replace(regexp_replace({bare}, {q(W.LINES)}, chr(10), 'g'), {q(W.MARKUP)}, '', 'g') AS raw_text FROM p),
+t AS MATERIALIZED (SELECT *, list_transform(raw_links, lambda x: {one_line(_resolved('x', True))}) AS links, {one_line(_resolved('raw_title'))} AS title,
   trim(regexp_replace(regexp_replace({_resolved('raw_text')}, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS text,
-  {uuid("'metadata'", "refers_to", "source_digest")} AS mid, {uuid("'conversion'", "refers_to", "source_digest")} AS cid FROM s),
-r AS (SELECT source_id, target_uri, source_digest, refers_to, len(links)::BIGINT AS n_links, 'metadata' AS type, mid AS record_id, cid AS other, 'application/warc-fields' AS content_type,
+  {uuid("'metadata'", "refers_to", "source_digest")} AS mid, {uuid("'conversion'", "refers_to", "source_digest")} AS cid FROM s, n),
+r AS (SELECT source_id, target_uri, source_digest, page_length::VARCHAR AS page_length, refers_to, len(links)::BIGINT AS n_links, 'metadata' AS type, mid AS record_id, cid AS other, 'application/warc-fields' AS content_type,
   CASE WHEN title <> '' THEN 'title: ' || title || {crlf} ELSE '' END || CASE WHEN language <> '' THEN 'language: ' || language || {crlf} ELSE '' END || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || {crlf}), ''), '') AS block FROM t
-  UNION ALL SELECT source_id, target_uri, source_digest, refers_to, len(links)::BIGINT, 'conversion', cid, mid, 'text/plain; charset=UTF-8', text FROM t)
+  UNION ALL SELECT source_id, target_uri, source_digest, page_length::VARCHAR, refers_to, len(links)::BIGINT, 'conversion', cid, mid, 'text/plain; charset=UTF-8', text FROM t)
 SELECT source_id, record_id, type, refers_to, target_uri, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, n_links,
   'WARC/1.1' || {crlf} || {" || ".join(f"'{k}: ' || {v} || {crlf}" for k, v in heads.items())} || {crlf} || block || {crlf} || {crlf} AS record FROM r
 """

@@ -2,36 +2,45 @@
 
 A response gives two records. The metadata record holds title, language and outgoing links as warc-fields; the conversion
 record holds the page as plain text. Both refer to the response (WARC-Refers-To, with target and date) and to each other
-(WARC-Concurrent-To), keep the source's content type and payload digest, and carry digests of their own blocks. Record ids
-are derived from the response's id and digest, so a rerun writes the same records. Only DataFrame functions are used; the
-plan is one scan without a shuffle.
-
-Edge cases: null or empty html gives an empty conversion and a metadata record without links; a null target is empty;
-repeated rows give repeated records; an empty table gives none; extra columns are ignored.
+(WARC-Concurrent-To), keep every header of the source (as X-Source-<name>) and its payload digest, and carry digests of
+their own blocks. Record ids are derived from the response's id and digest, so a rerun writes the same records. Only
+DataFrame functions make them; the plan is one scan without a shuffle. ``read_warc`` reads response records of WARC files.
+
+Edge cases: null or empty html gives an empty conversion and a metadata record without links; a null target is empty; a
+page of any length is one record; repeated rows give repeated records; an empty table gives none; extra columns are
+ignored, whatever their names. A script, style, noscript or template that is never closed hides the rest of the page, as
+in browsers; a comment that is never closed too.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
+import zlib
+from collections.abc import Iterator
 from html.entities import html5
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditweave.llm.arrowio import bounded_batches
+
+#: Columns of response records.
+RESPONSE = ["source_id", "record_id", "target_uri", "date", "http_headers", "payload"]
 #: Crawl date of responses that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
-COMMENT = r"(?s)<!--.*?-->"
-UNSEEN = r"(?is)<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+UNSEEN = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|<template\b[^>]*>.*?(?:</template\s*>|\z)"
 LINES = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|title|head|body|html|blockquote|pre|form)\b[^>]*>"
-#: TAG and LINK are what OP7 in sql.py uses; the operator takes MARKUP and HREF, in which a < before a blank is text and each quote ends at its own kind.
-TAG = r"<[^>]*>"
+#: A < before a blank is text, and each quote ends at its own kind.
 MARKUP = r"<[a-zA-Z/!?][^>]*>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 LANGUAGE = r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z0-9-]+)"""
-LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"'>]*)["']"""
 HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
-NUMERIC = r"&#[xX]?[0-9a-fA-F]{1,6};"
-#: The names that OP7 in sql.py resolves; the operator resolves all of HTML5.
-NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&eacute;": "é", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&euro;": "€"}
+#: A header line of the archived response.
+HEADER = r"(?m)^([!#-'*+.^-z|~A-Z0-9-]+):[ \t]*([^\r\n]*?)[ \t]*\r?$"
 #: What may be a character reference; a name takes the = after it, which tells a parameter in an address from a reference.
 REFERENCE = r"&(?:#[xX]?[0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*[;=]?)"
 #: The names that HTML resolves without a semicolon too, longest first.
@@ -112,8 +121,9 @@ def derivatives(source: DataFrame) -> DataFrame:
     html = F.col("payload")
     source = source.withColumn("bare", bare_html(html)).withColumn("tagless", tagless(F.col("bare")))  # each computed once
     links = F.transform(F.regexp_extract_all("bare", F.lit(HREF), F.lit(1)), lambda x: one_line(resolved(unquoted(x), attribute=True)))
-    source_type = F.regexp_extract("http_headers", r"(?i)\ncontent-type: *([^\r\n]*)", 1)
-    rows = source.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", source_type.alias("source_type"), digest(html).alias("source_digest"), links.alias("links"),
+    head = F.regexp_extract_all("http_headers", F.lit(HEADER), F.lit(0))
+    kept = F.array_join(F.transform(head, lambda h: F.concat(F.lit("X-Source-"), F.regexp_replace(h, HEADER, "$1: $2\r\n"))), "")
+    rows = source.select("source_id", F.col("record_id").alias("refers_to"), "target_uri", "date", kept.alias("source_headers"), digest(html).alias("source_digest"), links.alias("links"),
                          one_line(resolved(F.regexp_extract(html, TITLE, 1))).alias("title"), F.regexp_extract(html, LANGUAGE, 1).alias("language"), tidied(resolved(F.col("tagless"))).alias("text"))
     ids = {k: uuid_of(F.lit(k), "refers_to", "source_digest") for k in ("metadata", "conversion")}
     field = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))).otherwise("")
@@ -123,13 +133,57 @@ def derivatives(source: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_links", F.size("links").cast("long")).withColumn("r", F.explode(two))
     head = [
         ("WARC-Type", F.col("r.type")), ("WARC-Record-ID", F.col("r.record_id")), ("WARC-Date", F.col("date")), ("WARC-Target-URI", F.col("target_uri")), ("WARC-Refers-To", F.col("refers_to")), ("WARC-Refers-To-Target-URI", F.col("target_uri")),
-        ("WARC-Refers-To-Date", F.col("date")), ("WARC-Concurrent-To", F.col("r.other")), ("X-Source-Content-Type", F.col("source_type")), ("X-Source-Payload-Digest", F.col("source_digest")), ("WARC-Block-Digest", digest(F.col("r.block"))),
+        ("WARC-Refers-To-Date", F.col("date")), ("WARC-Concurrent-To", F.col("r.other")), ("X-Source-Payload-Digest", F.col("source_digest")), ("WARC-Block-Digest", digest(F.col("r.block"))),
         ("Content-Type", F.col("r.content_type")), ("Content-Length", F.octet_length("r.block").cast("string")),
     ]
-    record = F.concat(F.lit("WARC/1.1\r\n"), *(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in head), F.lit("\r\n"), F.col("r.block"), F.lit("\r\n\r\n"))
+    record = F.concat(F.lit("WARC/1.1\r\n"), *(F.concat(F.lit(f"{k}: "), v, F.lit("\r\n")) for k, v in head), F.col("source_headers"), F.lit("\r\n"), F.col("r.block"), F.lit("\r\n\r\n"))
     return rows.select("source_id", "r.record_id", "r.type", "refers_to", "target_uri", "r.content_type", F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"), "source_digest", "n_links", record.alias("record"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Records as WARC files, one for each partition."""
     records.select(F.col("record").substr(F.lit(1), F.length("record") - 2)).write.option("lineSep", "\r\n").text(path)
+
+
+def records_in(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a WARC file, plain or gzip, by the lengths that the records state. A record that is cut off ends the file."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            size = int(head.get("content-length", "0"))
+            block = stream.read(size)
+            if len(block) < size:
+                return
+            yield head, block
+    except (EOFError, OSError, ValueError, zlib.error):
+        return
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of WARC files: source_id (null), record_id, target_uri, date, http_headers, payload, for ``derivatives``.
+
+    A file is one value of one task, so 2 GB at most, as crawlers write them. The payload is decoded by the charset that its
+    headers name, else as UTF-8, with replacement; other types of records are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (c for b in batches for c in b.column(0).to_pylist()):
+            for head, block in records_in(content or b""):
+                if head.get("warc-type", "").lower() == "response":
+                    http, mark, payload = block.partition(b"\r\n\r\n")
+                    http = http.decode("latin-1")
+                    named = re.search(r"(?im)^content-type:.*charset=[\"']?([\w.:-]+)", http)
+                    try:
+                        text = payload.decode(named[1] if named else "utf-8", "replace")
+                    except LookupError:
+                        text = payload.decode("utf-8", "replace")
+                    row = [None, head.get("warc-record-id"), head.get("warc-target-uri", "").strip("<>"), head.get("warc-date", NO_DATE), http + mark.decode(), text]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k == 0 else pa.string()) for k, v in enumerate(row)], RESPONSE)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return bounded_batches(files).mapInArrow(run, ", ".join(f"{c} {'long' if c == 'source_id' else 'string'}" for c in RESPONSE))
