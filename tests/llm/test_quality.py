@@ -98,3 +98,67 @@ def test_forest_scores_outliers_higher():
     assert f.score(x[:1] * 0)[0] < f.score(x[:1] * 0 + 6)[0]
     assert forest.calibrated(np.array([0.1, 0.2, 0.9]), np.array([1, 1, 0])) == pytest.approx(0.55)
     assert forest.calibrated(np.array([0.5, 0.5]), np.array([1, 0])) == np.inf
+
+
+def test_path_lengths_against_a_recursive_walk():
+    """Each tree walked point by point; leaves hold depth plus the expected rest, cuts lie between the points that they part."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(5, 3)) + 8, np.zeros((20, 3))])
+    f = forest.IsolationForest(x, trees=12, subsample=64)
+
+    def depth(tree, point, at=0, d=0):
+        feature, cut, child, length = tree
+        if feature[at] < 0:
+            return length[at], d
+        return depth(tree, point, child[at] + int(point[feature[at]] >= cut[at]), d + 1)
+
+    for k in range(0, len(x), 7):
+        walks = [depth(t, x[k]) for t in f.trees]
+        assert all(d <= 6 and total >= d for total, d in walks)
+        assert f.score(x[k : k + 1])[0] == pytest.approx(2 ** (-np.mean([w[0] for w in walks]) / f.norm))
+    for n in (2, 3, 10, 60):  # expected path of an unsuccessful search in a random binary tree, by its recurrence
+        cost = [0.0, 0.0]
+        for m in range(2, n + 1):
+            cost.append(1 + sum(k / m * cost[k] + (m - k) / m * cost[m - k] for k in range(1, m)) / (m - 1))
+        assert float(forest.mean_path(n)) == pytest.approx(cost[n], abs=0.12)
+
+
+def test_threshold_against_all_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        scores = np.round(rng.random(60), 2)
+        marks = (rng.random(60) < 0.7).astype(int)
+        t = forest.calibrated(scores, marks, 3.0)
+        gain = lambda c: (scores[marks == 0] > c).mean() - 3.0 * (scores[marks == 1] > c).mean()
+        best = max([gain(c) for c in np.unique(scores)] + [0.0])
+        assert (gain(t) if np.isfinite(t) else 0.0) == pytest.approx(best)
+
+
+def test_labels_do_not_shape_the_forest(corpus):
+    """Turning labels around moves the threshold only: anomaly scores stay."""
+    docs, labels, _ = corpus
+    turned = labels.selectExpr("doc_id", "1 - quality as quality", "toxic")
+    one, two = ({r.doc_id: r.anomaly for r in forest.quality_rules(docs, x).collect()} for x in (labels, turned))
+    assert one == two
+
+
+def test_lasso_meets_its_optimality_conditions():
+    """The fit's weights: gradient within the penalty where a rule is out, at the penalty where it is in."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(800, len(RATIOS)))
+    y = ((x[:, 0] > 0.3) & (x[:, 3] < 0.5) | (x[:, 5] > 1)).astype(int)
+    model = rulefit.fit(x, y)
+    p = model.score(x)
+    assert np.mean((p >= 0.5) == y) > 0.95 and abs(np.mean(p - y)) < 1e-3
+    for rule, weight in model.rules:
+        z = rulefit.covers(rule, x).astype(float)
+        slope = np.mean((p - y) * z) / z.std()
+        assert slope == pytest.approx(-np.sign(weight) * rulefit.PENALTY, abs=1.5e-4)
+
+
+def test_clashing_columns_pass_the_classifier(spark, corpus):
+    docs, labels, _ = corpus
+    odd = docs.withColumnRenamed("score", "stat_log_words").selectExpr("*", "'q' as _stat_log_words", "doc_id as Stat_repeat_share")
+    want = {r.doc_id for r in rulefit.quality_scores(docs, labels).collect() if r.predicted}
+    got = rulefit.accepted(odd, labels).collect()
+    assert {r.doc_id for r in got} == want and all((r.stat_log_words, r._stat_log_words, r.Stat_repeat_share) == ("x", "q", r.doc_id) for r in got)
