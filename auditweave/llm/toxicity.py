@@ -1,17 +1,21 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
 The kernel compares words by their common subsequences of three letters, each weighted by ``DECAY`` to the length it spans,
-so a letter inserted into an insult or a gap between its letters only lowers the weight. Landmarks are words that labelled
-toxic sentences share and clean ones lack, plus clean words; the kernel against them, whitened (Nystroem), is the space
-in which a linear support vector machine is trained on words, and a logistic curve over a text's largest margin
-gives the text's score. The machine is linear in kernel values, so for scoring it is expanded once into a table over
-letter triples: the same function, at the cost of a table look-up for each triple of a word.
-
-Words are lower-cased, bare of outer punctuation; letters standing alone in a row (``i d i o t``) are joined, longer words
-are read in overlapping windows of ``LONGEST`` letters. The fit uses the texts of a bounded sample of labelled rows
-(``labelled.MAX_ROWS``, texts of ``SAMPLE_UNITS`` distinct words at most) outside the held-out fold; scoring covers every word of every row. Edge cases:
-null and empty texts have no words and get the score of a text with neutral words only; repeated rows get equal scores;
-an empty table gives an empty table; without labelled rows of both kinds every score is the share of toxic labels.
+so a letter inserted into an insult or a gap between its letters only lowers the weight. The machine is trained on labelled
+sentences as bags of words: a sentence is as toxic as its most toxic word, so each toxic sentence stands for its word with
+the largest margin (its witness) and every word of the clean sentences is a negative example. Witnesses start as the words
+with the largest share of toxic sentences and are chosen anew after each training until they stay. Landmarks are witnesses
+and clean words; the kernel against them, whitened (Nystroem), is the space of a linear support vector machine, and a
+logistic curve over a text's largest margin gives the text's score. The machine is linear in kernel values, so for scoring
+it is expanded once into a table over letter triples: the same function, at the cost of a look-up for each triple of a word.
+
+Words are lower-cased, bare of outer punctuation; letters standing alone in a row (``i d i o t``) are joined; longer words
+are read in windows of ``LONGEST`` letters, half a window apart, so that every stretch of half a window and one letter lies
+in one (wider gaps weigh under 2 % in the kernel). The fit uses the texts of a bounded sample of labelled rows
+(``labelled.MAX_ROWS``) outside the held-out fold, with all their words; scoring covers every word of every row. Edge cases:
+null and empty texts have no words and get the score of a text with neutral words only; a text of any length is one bag;
+ties between words go by their place in the sorted vocabulary; repeated rows get equal scores; an empty table gives an empty
+table; extra columns are ignored; without labelled rows of both kinds every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -30,14 +34,14 @@ from auditweave.llm.arrowio import bounded_batches, id_text, map_texts
 from auditweave.llm.labelled import MAX_ROWS, labelled_sample, remainder
 
 ORDER, DECAY, LONGEST = 3, 0.7, 20
-TOXIC_LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS, HARD_WORDS, MINING, RIDGE, STEPS = 160, 64, 3000, 3000, 3, 1e-5, 800
-LEAST_TOXIC, LEAST_SHARE = 4, 0.8
-#: Labelled texts with more distinct words than this are left out of the fit, which bounds what the driver holds.
-SAMPLE_UNITS = 1500
+TOXIC_LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS, HARD_WORDS, ROUNDS, RIDGE, STEPS = 160, 64, 3000, 3000, 4, 1e-5, 800
+#: A witness weighs as the square root of its sentences, so that frequent insults don't drown rare ones.
 FOLDS, HELD, ACCEPT = 3, 1, 0.7
 CLASSES, OUTER = 96, ".,;:!?\"'()[]{}<>*#$%&|-_~`…«»„“”’"
 #: Words remembered by one Python worker; beyond, the memory starts anew, results stay the same.
 WORD_CACHE = 800_000
+#: Letter triples of the sample's words that the fit holds, as 32-bit numbers.
+HELD_TRIPLES = 30_000_000
 #: Sum of kernel values is bounded by this many letter triples at a time.
 CHUNK = 500_000
 
@@ -97,12 +101,26 @@ def expand(words: list[str], weights: np.ndarray) -> np.ndarray:
     return table
 
 
-def against(table: np.ndarray, words: list[str]) -> np.ndarray:
-    """Normalised kernel sums of words with what the table expands."""
-    out = np.zeros(len(words))
+def prepared(words: list[str], most: int = HELD_TRIPLES) -> list[tuple]:
+    """Places, triple numbers, column weights and norms of words, piece by piece, for repeated use. Pieces beyond ``most`` triples stay letter classes and are worked out at each use."""
+    out = []
     for at, codes in by_length(words):
-        f, w = features(codes)
-        out[at] = (table[f] * w).sum(1) / norms(f, w)
+        if (most := most - len(at) * math.comb(codes.shape[1], ORDER)) < 0:
+            out.append((at, codes, None, None))
+        else:
+            f, w = features(codes)
+            out.append((at, f.astype(np.int32), w, norms(f, w)))
+    return out
+
+
+def against(table: np.ndarray, words: list[str], ready: list[tuple] | None = None) -> np.ndarray:
+    """Normalised kernel sums of words with what the table expands; ready: what ``prepared`` gave for them."""
+    out = np.zeros(len(words))
+    for at, f, w, n in prepared(words, 0) if ready is None else ready:
+        if w is None:
+            f, w = features(f)
+            n = norms(f, w)
+        out[at] = (table[f] * w).sum(1) / n
     return out
 
 
@@ -207,49 +225,56 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def inserted(word: str) -> list[str]:
-    """The word with one letter inserted, at three places."""
-    return [word[:i] + "xqz"[k] + word[i:] for k, i in enumerate(sorted({1, len(word) // 2, len(word) - 1}))]
+def best_of(bags: np.ndarray, ids: np.ndarray, values: np.ndarray, n_bags: int) -> np.ndarray:
+    """For each bag the id with the largest value, the smallest of equals; -1 for an empty bag."""
+    out = np.full(n_bags, -1)
+    order = np.lexsort((-ids, values[ids], bags))
+    out[bags[order]] = ids[order]  # the last one of a bag stays
+    return out
 
 
 def fit(vocabulary: list[str], ids: np.ndarray, sizes: np.ndarray, marks: np.ndarray) -> ToxicityModel:
-    """ids: places in the vocabulary of the distinct units of one text of the sample after the other; sizes: how many each text has; marks: 1 for toxic texts."""
-    toxic_share = (marks.sum() + 0.5) / (len(marks) + 1) if len(marks) else 0.5
-    flat = ToxicityModel(np.zeros(CLASSES**ORDER), -1.0, (math.log(toxic_share / (1 - toxic_share)), 0.0))
-    owner = np.repeat(marks, sizes)
-    hits, often = (np.bincount(ids[owner == m], minlength=len(vocabulary)) for m in (1, 0))
-    total, name = hits + often, np.array(vocabulary, object)
-    is_bad = (total > 1) & (hits >= min(LEAST_TOXIC, max(1, int(marks.sum()) // 20))) & (hits >= LEAST_SHARE * total)
-    is_clean = (total > 1) & ~is_bad & (often > 0) & (hits <= 2 * (marks.mean() if len(marks) else 0) * total + 1)
-    by = lambda mask, count: sorted(np.flatnonzero(mask), key=lambda k: (-count[k], name[k]))
-    bad, clean = by(is_bad, hits), by(is_clean, often)
-    if not bad or not clean:
+    """ids: places in the sorted vocabulary of the distinct units of one text of the sample after the other; sizes: how many each text has; marks: 1 for toxic texts."""
+    share = (marks.sum() + 0.5) / (len(marks) + 1) if len(marks) else 0.5
+    flat = ToxicityModel(np.zeros(CLASSES**ORDER), -1.0, (math.log(share / (1 - share)), 0.0))
+    bags = np.repeat(np.arange(len(marks)), sizes)
+    toxic = marks[bags] == 1
+    hits, often = (np.bincount(ids[toxic == t], minlength=len(vocabulary)) for t in (True, False))
+    if not hits.any() or not often.any():
         return flat
-    spread = clean[:: max(1, len(clean) // CLEAN_WORDS)][:CLEAN_WORDS]
-    landmarks = [name[k] for k in [*bad[:TOXIC_LANDMARKS], *spread[:: max(1, len(spread) // CLEAN_LANDMARKS)][:CLEAN_LANDMARKS]]]
-    toxic, shares = [name[k] for k in bad], hits[bad].astype(float)
-    calm = np.flatnonzero((often > 0) & ~is_bad)
-    calm_words = [name[k] for k in calm]
-    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
-    free = values > 1e-6 * values[-1]
-    white = vectors[:, free] / np.sqrt(values[free])
-    varied = [v for c in toxic for v in inserted(c)]
-    toxic, shares = toxic + varied, np.concatenate([shares, np.repeat(shares / 10, [len(inserted(c)) for c in toxic])])
-    negative, points = sorted(spread, key=lambda k: name[k]), kernel(toxic, landmarks) @ white
-    for mining in range(MINING + 1):
-        x = np.concatenate([points, kernel([name[k] for k in negative], landmarks) @ white])
-        y = np.repeat([1.0, -1.0], [len(toxic), len(negative)])
-        common = np.sqrt(np.maximum(often[negative], 1))
-        w, bias = svm(x, y, np.concatenate([shares / shares.sum(), common / common.sum()]))
-        table = expand(landmarks, white @ w)
-        if mining < MINING:  # clean words that look toxic join the negatives
-            m = against(table, calm_words) + bias
-            hard = [calm[k] for k in np.argsort(-m, kind="stable")[:HARD_WORDS] if m[k] > -0.7]
-            negative = sorted({*negative, *hard}, key=lambda k: name[k])
+    name = np.array(vocabulary, object)
+    values = np.log((hits + 0.5) / (marks.sum() + 1)) - np.log((often + 0.5) / (len(marks) - marks.sum() + 1))
+    calm, ready = np.flatnonzero(often), prepared(vocabulary)
+    spread = calm[np.lexsort((calm, -often[calm]))]
+    spread = spread[:: max(1, len(spread) // CLEAN_WORDS)][:CLEAN_WORDS]
+    negative, witness, white, landmarks, have = np.sort(spread), None, None, [], np.zeros((0, 0))
+    for _ in range(ROUNDS):
+        before, witness = witness, best_of(bags[toxic], ids[toxic], values, len(marks))
+        if before is not None and (before == witness).all():
+            break
+        positive, sentences = np.unique(witness[witness >= 0], return_counts=True)
+        if white is None:
+            first = positive[np.lexsort((positive, -sentences))][:TOXIC_LANDMARKS]
+            landmarks = name[[*first, *spread[:: max(1, len(spread) // CLEAN_LANDMARKS)][:CLEAN_LANDMARKS]]].tolist()
+            own, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
+            free = own > 1e-6 * own[-1]
+            white = vectors[:, free] / np.sqrt(own[free])
+            have = kernel(name[negative].tolist(), landmarks) @ white
+        points = kernel(name[positive].tolist(), landmarks) @ white
+        for mined in (False, True):
+            x = np.concatenate([points, have])
+            y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
+            weights = np.sqrt(sentences), np.sqrt(np.maximum(often[negative], 1))
+            w, bias = svm(x, y, np.concatenate([v / v.sum() for v in weights]))
+            table = expand(landmarks, white @ w)
+            values = against(table, vocabulary, ready) + bias
+            if not mined:  # words of clean sentences that look toxic join the negatives
+                hard = calm[np.lexsort((calm, -values[calm]))][:HARD_WORDS]
+                new = np.setdiff1d(hard[values[hard] > -0.7], negative)
+                negative, have = np.concatenate([negative, new]), np.concatenate([have, kernel(name[new].tolist(), landmarks) @ white])
     model = ToxicityModel(table, bias, (0.0, 0.0))
-    margins = np.clip(against(table, vocabulary) + bias, -1.0, 1.0)
     tops = np.full(len(marks), -1.0)
-    np.maximum.at(tops, np.repeat(np.arange(len(marks)), sizes), margins[ids])
+    np.maximum.at(tops, bags, np.clip(values, -1.0, 1.0)[ids])
     model.curve = logistic(tops[:, None], marks.astype(float))
     return model
 
@@ -260,7 +285,7 @@ def learned(docs: DataFrame, labels: DataFrame, folds: int | None = FOLDS, held:
             got = [sorted({u for t in tokens(x) for u in units(t)}) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.list_(pa.string()))], ["doc_id", "label", "units"])
 
-    sample = bounded_batches(labelled_sample(docs, labels, "toxic", folds, held, max_rows)).mapInArrow(run, "doc_id long, label int, units array<string>").filter(F.size("units") <= SAMPLE_UNITS)
+    sample = bounded_batches(labelled_sample(docs, labels, "toxic", folds, held, max_rows)).mapInArrow(run, "doc_id long, label int, units array<string>")
     rows = sample.groupBy("doc_id").agg(F.min(F.struct("label", "units")).alias("s")).select("doc_id", "s.*").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return fit([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
