@@ -3,7 +3,9 @@ import hashlib
 import random
 import zlib
 
-from auditweave.llm.media import Sniffer, as_png, as_wav, payload_of, samples_of, sniff_media, store_and_sniff
+import time
+
+from auditweave.llm.media import STORES, Sniffer, as_png, as_wav, payload_of, samples_of, sniff_media, store_and_sniff, stored
 
 GIF = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
 
@@ -13,10 +15,10 @@ def test_round_trip_and_types():
     for n in (0, 1, 191, 192, 193, 5000):
         payload = payload_of("".join(rnd.choices("abé日RIFF", k=n)))
         assert len(payload) % 192 == 0 and len(payload) >= 192
-        for store, kind in ((as_wav, "audio/wav"), (as_png, "image/png")):
-            stored = store(payload)
-            assert Sniffer()(stored)[:2] == (kind, len(stored))
-            assert samples_of(kind, stored) == payload
+        for kind, store in STORES.items():
+            value = store(payload)
+            assert Sniffer()(value)[:2] == (kind, len(value))
+            assert samples_of(kind, value) == payload
 
 
 def test_false_magic_is_not_media_and_damage_is_seen():
@@ -50,3 +52,42 @@ def test_queries(spark):
     values = spark.createDataFrame([(1, GIF, "image/png"), (2, GIF, "image/gif"), (3, None, None), (4, b"zz" + GIF, "image/gif")], "k int, v binary, d string")
     got = {r.id: r for r in sniff_media(values, "k", "v", "d").collect()}
     assert (got[1].type, got[1].corrected, got[2].corrected, got[3].type, got[4].carved[0].offset) == ("image/gif", True, False, "application/octet-stream", 2)
+
+
+def test_wrong_types_are_corrected_and_embedded_media_carved(spark):
+    """The query's own values through the operator: every declared type is judged, every embedded part found where it is."""
+    texts = [f"text {i} " * (i % 50) for i in range(300)]
+    rows = []
+    for i, t in enumerate(texts):
+        value, declared = stored(payload_of(t))
+        rows.append((i, bytearray(value), declared))
+    got = {r.id: r for r in sniff_media(spark.createDataFrame(rows, "k int, v binary, d string"), "k", "v", "d").collect()}
+    features = {r.doc_id: dict(x.split("=") for x in r.feature.split(";")[1:6]) | {"type": r.feature.split(";")[0]} for r in store_and_sniff(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = set()
+    for i, value, declared in rows:
+        f, r = features[i], got[i]
+        if f["at"] == "0":
+            assert (r.type, r.length, r.corrected, r.carved) == (f["type"], len(value), declared != r.type, [])
+        else:
+            assert r.type == "application/octet-stream" and [(c.type, c.offset, c.length) for c in r.carved] == [(f["type"], int(f["at"]), int(f["length"]))]
+        assert f["declared"] == declared and f["corrected"] == str(int(declared != f["type"]))
+        seen.add((f["type"], f["at"] != "0", f["corrected"]))
+    assert len(seen) == 16
+
+
+def test_repeated_magic_is_linear():
+    sniff = Sniffer()
+    for unit in (b"%PDF-1 ", b"\x1f\x8b\x08\x1f", b"\x1f\x8b\x08\x08AAAAAA", b"GIF89a", b"\xff\xd8\xff\xda\x00\x02", b"%PDF-1 startxref "):
+        began = time.time()
+        assert sniff(unit * (2_000_000 // len(unit))) == ("application/octet-stream", 0, [])
+        assert time.time() - began < 20, unit
+
+
+def test_pdf_and_gzip_lengths():
+    pdf = b"%PDF-1.4 x startxref 9 %%EOF"
+    named = gzip.compress(b"abc" * 1000)
+    named = named[:3] + b"\x08" + named[4:10] + b"name\x00" + named[10:]
+    value = b"junk %PDF- " + pdf + b" %PDF-9 %%EOF " + named + b" tail"
+    assert [(k, n) for k, _, n in Sniffer()(value)[2]][1:] == [("application/gzip", len(named))]
+    assert Sniffer()(pdf + b"..")[:2] == ("application/pdf", len(pdf))
+    assert Sniffer()(named[:-3])[1] == 0
