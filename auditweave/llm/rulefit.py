@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from auditweave.llm.arrowio import bounded_batches, id_text, map_texts
 from auditweave.llm.forest import stats_sample
 from auditweave.llm.labelled import MAX_ROWS, remainder
+from auditweave.llm.shared import unused
 from auditweave.llm.textstats import RATIOS, statistics
 
 TREES, DEPTH, CUTS, SHRINK, LEAST, PENALTY, STEPS = 30, 3, 64, 0.3, 10, 0.0004, 1500
@@ -136,9 +137,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | N
 
 
 def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns as they are; one pass without a shuffle."""
+    """The rows of docs that the classifier accepts, all columns as they are, whatever their names; one pass without a shuffle.
+
+    Null and empty texts are judged by their zero statistics; repeated rows alike; an empty table gives an empty table."""
     model = fit(*stats_sample(docs, labels, "quality", FOLDS, HELD, max_rows))
-    names = [f"_stat_{r}" for r in RATIOS]
+    names = unused(docs, *(f"stat_{r}" for r in RATIOS))
     place = docs.columns.index(text_col)
 
     def run(batches):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditweave.llm.shared import cut
+from auditweave.llm.shared import cut, unused
 
 #: Kinds in the order of ties. The first three are the base.
 BASE = ("assign", "access", "hex")
@@ -93,14 +93,17 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same rows and columns; in text_col every span is replaced by ``[SECRET]`` (overlapping spans by one)."""
-    spans = secret_spans(docs, id_col, text_col).select(F.col("doc_id").alias("_of"), F.col("th").alias("_th"), F.array_sort(F.concat("base", "added")).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_of", "_th"])
+    """The same rows and columns, whatever their names; in text_col every span is replaced by ``[SECRET]`` (overlapping spans by one).
+
+    A null text stays null, an empty one empty; repeated rows are redacted alike; an empty table gives an empty table."""
+    of, hashed, found = unused(docs, "of", "hashed", "found")
+    spans = secret_spans(docs, id_col, text_col).select(F.col("doc_id").alias(of), F.col("th").alias(hashed), F.array_sort(F.concat("base", "added")).alias(found)).filter(F.size(found) > 0).dropDuplicates([of, hashed])
     t = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.when(s["start"] >= acc["at"], F.concat(t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_of")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("_th")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), t).otherwise(done)).drop("_of", "_th", "_spans")
+    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(hashed)), "left")
+    return joined.withColumn(text_col, F.when(F.col(found).isNull(), t).otherwise(done)).select(*docs.columns)

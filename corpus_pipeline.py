@@ -1,6 +1,12 @@
 """A training corpus from documents: quality, near duplicates, secrets, mix, tokens.
 
 Every stage takes what its predecessor kept, as Parquet. All but the last return the columns of documents.
+
+Edge cases, in every stage: a null text is a text without words, judged by its statistics in the first stage, linked with
+nothing in the second, left as it is in the third, never taken by the fourth; an empty text likewise; a null doc_id is a
+document of its own throughout; of repeated rows of a doc_id one passes the second stage; ties go by the smallest doc_id
+there and by hashes in the fourth; texts of any length are handled whole; an empty table gives an empty table of the same
+columns; further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from auditweave.llm.mixing import resampled
 from auditweave.llm.ngram_join import deduplicated
 from auditweave.llm.rulefit import accepted
 from auditweave.llm.secrets import redacted
-from auditweave.llm.shared import ensure_checkpoint_dir
+from auditweave.llm.shared import delete, ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage over documents. Stages in between are written to the shared checkpoint folder; each goes when the next is there."""
+    """The last stage over documents. Stages in between are written to the shared checkpoint folder; each goes when the next is there.
+
+    The result is read lazily from the last of them, which stays as long as the result may be asked for."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
@@ -60,7 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if last:
-            target = spark._jvm.org.apache.hadoop.fs.Path(last)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, last)
         last = path
     return STAGES[-1][1](spark, docs, sf_dir)
