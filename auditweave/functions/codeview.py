@@ -78,3 +78,24 @@ def code_view(text: Column, ext: Column) -> Column:
         return pd.Series([view_of(t, e) for t, e in zip(texts, exts, strict=True)], dtype=object)
 
     return F.when(ext.isin(*GROUP_OF), run(F.coalesce(text, F.lit("")), ext))
+
+
+def blanked_literals(text: str, ext: str) -> str:
+    """The inside of string literals blanked, comments kept, every offset kept; texts without a known lexical shape stay as they are."""
+    group = GROUP_OF.get(ext)
+
+    def cover(m: re.Match[str]) -> str:
+        named = {k: v for k, v in m.groupdict().items() if v is not None}
+        if "c" in named:
+            return m.group(0)
+        opening = next(v for k, v in named.items() if k[0] == "o")
+        inside = next(v for k, v in named.items() if k[0] == "i")
+        return opening + blanked(inside) + m.group(0)[len(opening) + len(inside) :]
+
+    return LEXERS[group].sub(cover, text) if group else text
+
+
+def without_comments(text: str, ext: str = ".js") -> str:
+    """Comments blanked, literals kept (module names are literals), every offset kept."""
+    group = GROUP_OF.get(ext)
+    return LEXERS[group].sub(lambda m: blanked(m.group(0)) if m.groupdict().get("c") is not None else m.group(0), text) if group else text

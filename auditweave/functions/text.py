@@ -97,3 +97,69 @@ def spdx_id(x: Column) -> Column:
 def in_sealed_fifth(name: Column) -> Column:
     """Hash-chosen holdout: the first 32 bits of sha256 below a fifth of their range."""
     return F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") < (1 << 32) // 5
+
+
+def visible_controls(x: Column) -> Column:
+    """Control and format characters spelled as ``<U+XXXX>``, so that nothing in a report is hidden or reordered."""
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"[\p{Cc}\p{Cf}]"), F.lit(0)))
+    number = lambda c: F.hex(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long"))
+    spelt = F.aggregate(found, x, lambda a, c: F.replace(a, c, F.concat(F.lit("<U+"), F.when(F.length(number(c)) < 4, F.lpad(number(c), 4, "0")).otherwise(number(c)), F.lit(">"))))
+    return F.when(F.regexp_like(x, F.lit(r"[\p{Cc}\p{Cf}]")), spelt).otherwise(x)
+
+
+#: Fixed value: languages by extension.
+LANGUAGES = {
+    ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".py": "python", ".go": "go", ".java": "java", ".php": "php", ".rb": "ruby", ".cs": "csharp",
+    ".rs": "rust", ".kt": "kotlin", ".dart": "dart", ".tf": "terraform", ".yaml": "yaml", ".yml": "yaml", ".plist": "plist", ".json": "json",
+}
+
+
+def language_of(path: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
+    return F.when(base_name(path) == "Dockerfile", "docker").otherwise(F.coalesce(F.try_element_at(known, extension(path)), F.lit("other")))
+
+
+def touched_files(diff: Column) -> Column:
+    """Files that a unified diff names as changed, in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(diff, F.lit(r"(?m)^\+\+\+ (?:b/)?([^\t\r\n]+)"), F.lit(1)))
+
+
+def shown_and_more(names: Column, shown: int = 3) -> Column:
+    """The first names in order, and how many more there are."""
+    ordered = F.array_sort(F.array_distinct(names))
+    more = F.size(ordered) - shown
+    return F.concat(F.array_join(F.slice(ordered, 1, shown), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def in_words(key: Column, wanted: dict[str, str], otherwise: dict[str, str]) -> Column:
+    """A string of the wanted language, key by key in the other one where it is missing, the key itself where both lack it."""
+    table = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table(wanted), key), F.try_element_at(table(otherwise), key), key)
+
+
+#: Names, endings and folders of credential material.
+SECRET_NAMES = (".env", "id_rsa", "id_ed25519", "id_ecdsa", "credentials.json", "secrets.json", "serviceaccountkey.json", "kubeconfig", "npmrc", ".npmrc", ".pypirc", ".netrc")
+SECRET_ENDINGS = (".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".tfstate", ".kubeconfig", ".ppk")
+SECRET_FOLDERS = ("secrets", ".ssh", ".gnupg")
+
+
+def is_secret_path(path: Column) -> Column:
+    """Whether a file is credential material, by its name, its ending or a folder above it."""
+    low = F.lower(F.regexp_replace(path, r"\\", "/"))
+    base, folders = F.regexp_extract(low, r"([^/]*)$", 1), F.split(low, "/")
+    ends = F.lit(False)
+    for e in SECRET_ENDINGS:
+        ends = ends | low.endswith(e)
+    return base.isin(*SECRET_NAMES) | base.startswith(".env") | ends | F.arrays_overlap(F.slice(folders, 1, F.size(folders) - 1), F.array(*map(F.lit, SECRET_FOLDERS)))
+
+
+#: Our own patterns for commands that probe a running system.
+ACTIVE_TOOLS = r"(?i)(?:^|[\s;&|(/])(sqlmap|nikto|nuclei|ffuf|gobuster|dirb|wfuzz|hydra|masscan|nmap|zap-cli|wpscan|feroxbuster|commix|dalfox)\b"
+CHANGING_REQUEST = r"(?i)\bcurl\b[^|;&\n]*\s(?:-X\s*(?:POST|PUT|PATCH|DELETE)|--request[= ]\s*(?:POST|PUT|PATCH|DELETE)|-d\b|--data\b|--data-\w+|-F\b|--form\b|-T\b|--upload-file\b)"
+PROBE_REQUEST = r"(?i)\b(?:curl|wget|http)\b[^|;&\n]*(?:\.\./|%2e%2e|<script|%3cscript|\bunion\b[^\n]{0,40}\bselect\b|'\s*or\s*'|\bsleep\(|/etc/passwd)"
+
+
+def active_command(command: Column) -> Column:
+    """Why a shell command counts as active testing; null where it does not."""
+    tool = F.regexp_extract(command, ACTIVE_TOOLS, 1)
+    return F.when(tool != "", F.concat(F.lit("active-scanning tool "), F.lower(tool))).when(F.regexp_like(command, F.lit(CHANGING_REQUEST)), "request that changes state").when(F.regexp_like(command, F.lit(PROBE_REQUEST)), "probe in a request")

@@ -132,3 +132,12 @@ def project_paths(files: DataFrame) -> DataFrame:
 def described(path: Column) -> Column:
     """Steps of a path in words: ``L12: source (kind) → L13: …``. path: array of struct<line, what, kind>."""
     return F.array_join(F.transform(path, lambda s: F.concat(F.lit("L"), s["line"].cast("string"), F.lit(": "), s["what"], F.when(s["kind"] != "", F.concat(F.lit(" ("), s["kind"], F.lit(")"))).otherwise(""))), " → ")
+
+
+#: What the flow does not see, for every report that shows its paths.
+LIMITATIONS = (
+    "Values kept in attributes, containers' members and closures are followed by the name that holds them, not by the member.",
+    "Calls through computed names, inheritance and run-time code are calls of unknown functions, which pass their arguments on.",
+    "A test that leaves the function clears the names that it asks about, whatever it asks.",
+    "A file that does not parse gives no facts.",
+)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from auditweave.functions import levels, redos, text
 from auditweave.operators import compliance, dependencies, diff, findings, imports, intervals, php, scoring
-from auditweave.plans import corpus
+from auditweave.plans import built, corpus
 from auditweave.plans.corpus import ORDER, SUPERSEDED, TIER_ORDER, table
-from auditweave.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from auditweave.plans.oracle import ORACLE_SQL as OWN_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,3 +327,7 @@ def q37_php_paths(spark, sf_dir):
     code = F.concat(F.lit('<?php\n$id = $_GET["id"];\n$x = "p" . $id;\n$y = intval($_POST["n"]);\n'), F.element_at(sinks, (F.col("n_regionkey") % 5 + 1).cast("int")), F.lit("\necho $y;\n"))
     files = table(spark, sf_dir, "nation").select(F.concat(F.lit("src/n"), F.col("n_nationkey").cast("string"), F.lit(".php")).alias("file"), code.alias("text"))
     return php.php_paths(files).withColumn("line", F.col("line").cast("long")).withColumn("source_line", F.col("source_line").cast("long"))
+
+
+QUERIES |= built.QUERIES
+ORACLE_SQL = {**OWN_SQL, **built.ORACLE_SQL}

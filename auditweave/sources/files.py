@@ -48,17 +48,68 @@ def release_preamble(text: Column) -> Column:
     return F.exists(head, lambda x: reduce(or_, (F.contains(x, F.lit(p)) for p in PREAMBLES)))
 
 
+#: Fixed value: fields of a package manifest that name what it publishes.
+PUBLISHED_FIELDS = ("main", "module", "browser", "types", "typings", "unpkg", "jsdelivr")
+
+
+def source_trees(spark: SparkSession, roots: dict[str, str], extensions: tuple[str, ...] | None = None, published: tuple[str, ...] = ()) -> DataFrame:
+    """Several roots as one table: scan_id (the key of roots) before the columns of source_files."""
+    out = None
+    for scan, root in sorted(roots.items()):
+        t = source_files(spark, root, extensions, published).select(F.lit(scan).alias("scan_id"), "*")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def published_paths(files: DataFrame) -> DataFrame:
+    """(dir, path): what each package.json publishes, relative to the root of the tree; dir is the manifest's folder."""
+    manifest = files.filter(base_name(F.col("file")) == "package.json").select(F.regexp_replace("file", r"/?[^/]*$", "").alias("dir"), F.try_parse_json("text").alias("json"))
+    text = lambda path: F.try_variant_get("json", path, "string")
+    named = F.array(*(text(f"$.{f}") for f in PUBLISHED_FIELDS))
+    # exports, browser maps and bin may nest at will: every string in them that looks like a path
+    nested = F.regexp_extract_all(F.concat_ws(" ", *(F.to_json(F.try_variant_get("json", f"$.{f}", "variant")) for f in ("exports", "browser", "bin", "files"))), F.lit(r'"((?:\./)?[\w@.-]+(?:/[\w@.*-]+)*)"'), F.lit(1))
+    paths = manifest.select("dir", F.explode(F.array_distinct(F.concat(F.filter(named, lambda x: x.isNotNull()), nested))).alias("path"))
+    bare = F.regexp_replace("path", r"^(?:\./)+", "")
+    return paths.select("dir", F.when(F.col("dir") == "", bare).otherwise(F.concat_ws("/", "dir", bare)).alias("path")).distinct()
+
+
+def published_build_dirs(files: DataFrame) -> DataFrame:
+    """Build folders among PUBLISHABLE that the manifest beside them publishes; all others stay left out of a scan."""
+    rel = F.when(F.col("dir") == "", F.col("path")).otherwise(F.expr("substr(path, length(dir) + 2)"))
+    head = F.split(rel, "/")[0]
+    return published_paths(files).filter(head.isin(*PUBLISHABLE)).select(F.when(F.col("dir") == "", head).otherwise(F.concat_ws("/", "dir", head)).alias("dir")).distinct()
+
+
+def with_own_release(files: DataFrame) -> DataFrame:
+    """Adds own_release: the nearest package.json above a file names it or its folder, or lies in its folder.
+
+    Every file looks at its ancestors only (their number is its depth); of those with a manifest the deepest one decides."""
+    here = F.regexp_replace("file", r"/?[^/]*$", "")
+    parts = F.when(F.col("_dir") == "", F.array().cast("array<string>")).otherwise(F.split("_dir", "/"))
+    up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("at")))
+    manifests = files.filter(base_name(F.col("file")) == "package.json").select(here.alias("at")).distinct()
+    tried = files.select("file", here.alias("_dir")).select("file", "_dir", F.explode(up).alias("u")).select("file", "_dir", "u.depth", "u.at")
+    nearest = tried.join(manifests, "at").groupBy("file", "_dir").agg(F.max_by("at", "depth").alias("package"))
+    named = published_paths(files).groupBy(F.col("dir").alias("package")).agg(F.collect_set("path").alias("_paths"))
+    known = nearest.join(named, "package", "left").select("file", ((F.col("_dir") == F.col("package")) | F.coalesce(F.array_contains("_paths", F.col("file")) | F.array_contains("_paths", F.col("_dir")), F.lit(False))).alias("own_release"))
+    return files.drop("own_release").join(known, "file", "left").withColumn("own_release", F.coalesce("own_release", F.lit(False)))
+
+
 def with_vendored(files: DataFrame) -> DataFrame:
-    """Adds vendored: by name, directory, banner, line length, release preamble, or a directory with two bannered scripts or more."""
+    """Adds vendored: by name, directory, banner, line length, release preamble, or a directory with several released scripts.
+
+    Where a column own_release is true, banner, preamble and directory don't count: a package's own release is its source."""
     low = F.lower(F.concat(F.lit("/"), "file"))
     by_dir = F.lit(False)
     for d in VENDOR_DIRS:
         by_dir = by_dir | F.contains(low, F.lit(d))
+    own = F.col("own_release") if "own_release" in files.columns else F.lit(False)
     banner = F.ltrim("text").startswith("/*!")
     script = F.col("ext").isin(*SCRIPTS)
     long_line = F.exists(F.slice(F.split("text", "\n", -1), 1, LINES_READ), lambda x: F.length(x) > MINIFIED_LINE)
-    dropped = F.count_if(script & banner).over(Window.partitionBy("dir")) >= BANNERS
-    return files.withColumn("vendored", by_dir | F.col("file").rlike(MINIFIED_NAME) | (script & (banner | long_line | release_preamble(F.col("text")) | dropped)))
+    released = banner | release_preamble(F.col("text"))
+    dropped = F.count_if(script & released).over(Window.partitionBy("dir")) >= BANNERS
+    return files.withColumn("vendored", script & (by_dir | F.col("file").rlike(MINIFIED_NAME) | long_line | (~own & (released | dropped))))
 
 
 def with_code_view(files: DataFrame) -> DataFrame:
