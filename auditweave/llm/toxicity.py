@@ -225,6 +225,13 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
+def whitening(landmarks: list[str]) -> np.ndarray:
+    """Nystroem: kernel rows against the landmarks times this are points whose inner products are the kernel, exactly so on the landmarks."""
+    own, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
+    free = own > 1e-6 * own[-1]
+    return vectors[:, free] / np.sqrt(own[free])
+
+
 def best_of(bags: np.ndarray, ids: np.ndarray, values: np.ndarray, n_bags: int) -> np.ndarray:
     """For each bag the id with the largest value, the smallest of equals; -1 for an empty bag."""
     out = np.full(n_bags, -1)
@@ -256,9 +263,7 @@ def fit(vocabulary: list[str], ids: np.ndarray, sizes: np.ndarray, marks: np.nda
         if white is None:
             first = positive[np.lexsort((positive, -sentences))][:TOXIC_LANDMARKS]
             landmarks = name[[*first, *spread[:: max(1, len(spread) // CLEAN_LANDMARKS)][:CLEAN_LANDMARKS]]].tolist()
-            own, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
-            free = own > 1e-6 * own[-1]
-            white = vectors[:, free] / np.sqrt(own[free])
+            white = whitening(landmarks)
             have = kernel(name[negative].tolist(), landmarks) @ white
         points = kernel(name[positive].tolist(), landmarks) @ white
         for mined in (False, True):

@@ -79,7 +79,7 @@ def test_repeated_magic_is_linear():
     sniff = Sniffer()
     for unit in (b"%PDF-1 ", b"\x1f\x8b\x08\x1f", b"\x1f\x8b\x08\x08AAAAAA", b"GIF89a", b"\xff\xd8\xff\xda\x00\x02", b"%PDF-1 startxref "):
         began = time.time()
-        assert sniff(unit * (2_000_000 // len(unit))) == ("application/octet-stream", 0, [])
+        assert sniff(unit * (1_000_000 // len(unit))) == ("application/octet-stream", 0, [])
         assert time.time() - began < 20, unit
 
 
