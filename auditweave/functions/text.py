@@ -153,8 +153,12 @@ def is_secret_path(path: Column) -> Column:
     return base.isin(*SECRET_NAMES) | base.startswith(".env") | ends | F.arrays_overlap(F.slice(folders, 1, F.size(folders) - 1), F.array(*map(F.lit, SECRET_FOLDERS)))
 
 
-#: Our own patterns for commands that probe a running system.
-ACTIVE_TOOLS = r"(?i)(?:^|[\s;&|(/])(sqlmap|nikto|nuclei|ffuf|gobuster|dirb|wfuzz|hydra|masscan|nmap|zap-cli|wpscan|feroxbuster|commix|dalfox)\b"
+#: Fixed value: tools that test a running system. The patterns of requests below it are our own.
+ACTIVE_TOOL_NAMES = (
+    "nuclei", "nmap", "masscan", "zaproxy", "zap-cli", "zap-baseline", "zap-full-scan", "sqlmap", "hydra", "medusa", "patator", "ncrack", "gobuster", "dirb", "dirbuster", "feroxbuster", "ffuf", "wfuzz", "nikto", "wpscan", "joomscan", "arjun", "dalfox",
+    "xsstrike", "commix", "tplmap", "crackmapexec", "msfconsole", "msfvenom", "msfdb", "metasploit", "beef-xss", "sqlninja", "netexec", "responder", "whatweb", "wafw00f",
+)
+ACTIVE_TOOLS = rf"(?i)\b({'|'.join(ACTIVE_TOOL_NAMES)})\b"
 CHANGING_REQUEST = r"(?i)\bcurl\b[^|;&\n]*\s(?:-X\s*(?:POST|PUT|PATCH|DELETE)|--request[= ]\s*(?:POST|PUT|PATCH|DELETE)|-d\b|--data\b|--data-\w+|-F\b|--form\b|-T\b|--upload-file\b)"
 PROBE_REQUEST = r"(?i)\b(?:curl|wget|http)\b[^|;&\n]*(?:\.\./|%2e%2e|<script|%3cscript|\bunion\b[^\n]{0,40}\bselect\b|'\s*or\s*'|\bsleep\(|/etc/passwd)"
 

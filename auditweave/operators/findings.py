@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -63,7 +64,13 @@ def corroborated(findings: DataFrame, order: Sequence[str], window: int = CORROB
     def pair(rows: list[list]) -> list[list]:
         rows.sort(key=lambda r: tuple(r[at[o]] for o in order))
         taint = [r[at["source"]] == "taint" for r in rows]
-        near = sorted((d, i, j) for i, p in enumerate(rows) if not taint[i] for j, q in enumerate(rows) if taint[j] and (d := abs(p[at["line"]] - q[at["line"]])) <= window)
+        lines = sorted((q[at["line"]], j) for j, q in enumerate(rows) if taint[j])
+
+        def within(line: int) -> list[tuple[int, int]]:
+            """Taint rows no further away than the window: only these are ever candidates."""
+            return [(abs(line - other), j) for other, j in lines[bisect_left(lines, (line - window, -1)) : bisect_left(lines, (line + window + 1, -1))]]
+
+        near = sorted((d, i, j) for i, p in enumerate(rows) if not taint[i] for d, j in within(p[at["line"]]))
         used: set[int] = set()
         for _, i, j in near:
             if i not in used and j not in used:

@@ -27,10 +27,14 @@ NAME = r"\$([A-Za-z_]\w*)"
 LONGEST = 2000
 
 
-def php_paths(files: DataFrame) -> DataFrame:
-    """files: file, text. Rows: sink_id, cwe, severity, confidence, file, line, source, source_line, evidence, source_evidence."""
+def php_paths(files: DataFrame, longest: int | None = LONGEST) -> DataFrame:
+    """files: file, text. Rows: sink_id, cwe, severity, confidence, file, line, source, source_line, evidence, source_evidence.
+
+    One hop: a name that a line assigns from a request value, and a name that a line assigns from such a name. Lines of more
+    than ``longest`` characters are left out (generated code; None: none is), ``long_lines`` counts them."""
     php = files.filter(F.lower("file").rlike(r"\.(?:php|phtml)$") & F.regexp_like("text", F.lit(SUPERGLOBAL)))
-    lines = php.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).filter(F.length("text") <= LONGEST).withColumn("line", F.col("at") + 1)
+    lines = php.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).withColumn("line", F.col("at") + 1)
+    lines = lines if longest is None else lines.filter(F.length("text") <= longest)
     first = Window.partitionBy("file", "name").orderBy("line", "ord")
     direct = lines.filter(~F.regexp_like("text", F.lit(SANITISED))).select("file", "line", "text", F.posexplode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1))).alias("ord", "name"))
     direct = direct.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("file", "name", F.col("line").alias("source_line"), F.col("text").alias("source_text"))
@@ -44,3 +48,9 @@ def php_paths(files: DataFrame) -> DataFrame:
     reached = reached.select("file", "line", "text", "sink", F.posexplode(F.regexp_extract_all("text", F.lit(NAME), F.lit(1))).alias("ord", "name")).join(origin, ["file", "name"])
     reached = reached.withColumn("_n", F.row_number().over(Window.partitionBy("file", "line").orderBy("ord"))).filter("_n = 1")
     return reached.select("sink.*", F.lit("medium").alias("confidence"), "file", "line", F.concat(F.lit("$"), "name", F.lit(" (from a superglobal)")).alias("source"), "source_line", evidence(F.col("text")).alias("evidence"), evidence(F.col("source_text")).alias("source_evidence"))
+
+
+def long_lines(files: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(file, n): lines that ``php_paths`` leaves out for their length."""
+    php = files.filter(F.lower("file").rlike(r"\.(?:php|phtml)$")).select("file", F.explode(F.split("text", "\n", -1)).alias("text"))
+    return php.filter(F.length("text") > longest).groupBy("file").agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ def test_chains_over_files(spark):
 def test_joins_equal_the_small_fixed_point_on_random_projects(spark):
     """Random call graphs with cycles, over three files, in both languages."""
     rnd = random.Random(7)
-    for seed in range(3):
+    for seed in range(2):
         files = {}
         for m in range(3):
             py, js = [f"from m{(m + 1) % 3} import *\nimport m{(m + 1) % 3}, m{(m + 2) % 3}\n"], [f"import * as m{(m + 1) % 3} from './m{(m + 1) % 3}'\nimport * as m{(m + 2) % 3} from './m{(m + 2) % 3}'\n"]
