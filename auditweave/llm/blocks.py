@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from auditweave.llm.arrowio import id_text
 
-#: More buckets than this would make the packed values small at the largest sizes.
-MOST_BUCKETS = 20_000
+#: More buckets than this would make the packed values small: at 100 TB in a million partitions they are some 400 bytes and
+#: a bucket some 400 MB.
+MOST_BUCKETS = 200_000
 CHUNK = 1 << 20
 RNG = np.random.default_rng(20240501)
 BYTE = RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
