@@ -6,7 +6,8 @@ logistic of a sum of ``when(rule, weight)``, plain column expressions that Spark
 
 The fit uses a bounded sample of labelled rows (``labelled.MAX_ROWS``) outside the held-out fold, on the driver, from
 statistics alone; scoring covers every row. Edge cases: null and empty texts have zero statistics and are scored like
-any other; repeated rows get equal scores; an empty table gives an empty table; with no labelled rows every score is 0.5.
+any other, texts of any length by their whole; rows with equal statistics (ties, repeated rows) get equal scores; an empty
+table gives an empty table; extra columns are ignored, whatever their names; with no labelled rows every score is 0.5.
 """
 
 from __future__ import annotations

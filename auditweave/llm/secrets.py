@@ -6,8 +6,9 @@ collected too, and an interval join inside each document looks whether a part of
 within ``SCOPE`` characters; only then is the weak candidate reported. The join runs over the parts sorted by position
 (running maximum of ends before, nearest start behind), so its cost is linear in the parts of a document.
 
-Edge cases: null and empty texts have no spans; repeated rows get equal rows; an empty table gives an empty table; extra
-columns are ignored. Offsets count code points, ends are exclusive.
+Edge cases: null and empty texts have no spans; texts of any length are scanned whole; spans that begin at one place (ties)
+stand in the order of their kinds; repeated rows get equal rows; an empty table gives an empty table; extra columns are
+ignored, whatever their names. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations

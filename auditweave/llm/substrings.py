@@ -7,8 +7,10 @@ aligned anchor. First all anchors (three sevenths of the positions, four bytes e
 then each match is extended: the windows around shared anchors are looked up whole by a 64-bit hash, with the smallest
 doc_id that each block has for it. Both lookups go through ``blocks``: no pairs, no group larger than the number of blocks.
 
-Edge cases: null and empty texts have no words; rows with equal doc_id don't remove from each other; a row without doc_id
-keeps all words and removes none; an empty table gives an empty table; extra columns are ignored.
+Edge cases: null and empty texts have no words; a text of any length is one document of one block and handled whole; of
+documents with the same window the smallest doc_id keeps it, so rows with equal doc_id (ties, repeated rows) don't remove
+from each other; a row without doc_id keeps all words and removes none; an empty table gives an empty table; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -52,3 +52,10 @@ def test_random_texts_against_brute_force(spark):
                 at = max(at, b)
             assert plain[i].text == out + t[at:]
     assert plain[1].text is None and plain[2].spans == "x"
+
+
+def test_clashing_columns_and_very_long_text_pass_redaction(spark):
+    long = "word " * 200_000 + "token = abcdefghijklmnop" + " tail" * 1000
+    rows = [(1, long, "o", "h", 7), (2, "password: abcdefghijklmnop", "p", None, 8), (None, None, None, "x", 9)]
+    got = {r.doc_id: tuple(r) for r in S.redacted(spark.createDataFrame(rows, "doc_id long, text string, of string, Hashed string, _found int")).collect()}
+    assert got == {1: (1, "word " * 200_000 + "[SECRET]" + " tail" * 1000, "o", "h", 7), 2: (2, "[SECRET]", "p", None, 8), None: rows[2]}

@@ -57,3 +57,13 @@ def test_against_brute_force(spark):
     assert sorted((tuple(r)[:4] for r in got), key=key) == sorted(brute(rows), key=key)
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert removed_passages(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    """A text of 400,000 words that shares one passage with a short one, and repeats the short one's words elsewhere."""
+    rnd = random.Random(4)
+    passage = " ".join(f"p{j}" for j in range(40))
+    long = [f"u{rnd.randint(0, 10**7)}" for _ in range(400_000)]
+    rows = [(5, " ".join(long[:250_000]) + " " + passage + "\n" + " ".join(long[250_000:])), (3, "a " + passage), (9, None)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in removed_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (n, k, sha) for i, n, k, sha in brute(rows)} and got[5][1] == 40
