@@ -30,15 +30,15 @@ def weaknesses(classification: DataFrame) -> DataFrame:
     return classification.filter(F.col("cwe_id").startswith("CWE-")).groupBy("cve_id").agg(F.array_sort(F.collect_set("cwe_id")).alias("cwes"))
 
 
-def with_skip_reason(rows: DataFrame, cwes: DataFrame) -> DataFrame:
+def with_skip_reason(rows: DataFrame, cwes: DataFrame, longest: int = LONGEST_BEFORE, most: int = MOST_DELETED) -> DataFrame:
     """Adds cwes and reason: the first rule that leaves a changed file out of the corpus (empty: it stays).
 
     rows: cve_id, filename, old_path, code_before, deleted (array of line numbers)."""
     path = F.regexp_replace(F.coalesce(F.nullif("old_path", F.lit("")), "filename", F.lit("")), r"\\", "/")
     deleted = F.coalesce(F.size("deleted"), F.lit(0))
     reason = (
-        F.when((path == "") | ~is_production(path), "non_production").when(F.length("code_before") > LONGEST_BEFORE, "too_large").when(deleted <= 0, "no_deleted_lines")
-        .when(deleted > MOST_DELETED, "too_many_deleted").when(F.col("cwes").isNull(), "no_cwe").otherwise("")
+        F.when((path == "") | ~is_production(path), "non_production").when(F.length("code_before") > longest, "too_large").when(deleted <= 0, "no_deleted_lines")
+        .when(deleted > most, "too_many_deleted").when(F.col("cwes").isNull(), "no_cwe").otherwise("")
     )
     return rows.join(cwes, "cve_id", "left").withColumn("path", path).withColumn("reason", reason)
 

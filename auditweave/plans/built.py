@@ -195,12 +195,12 @@ def _changes(spark, sf_dir):
     path = F.concat(F.when(F.col("l_linenumber") % 5 == 0, "tests/").otherwise("src/"), F.lit("f"), F.col("l_partkey").cast("string"), F.lit(".py"))
     at, q = F.col("l_partkey") % 50 + 1, F.col("l_quantity").cast("int")
     deleted = F.when(q % 7 == 0, F.array().cast("array<long>")).otherwise(F.array(at, at + 2, at + 2 + q))
-    changes = line.select(F.col("l_orderkey").alias("hash"), path.alias("filename"), F.lit("").alias("old_path"), F.repeat(F.lit("x"), F.when(q == 50, evaluation.LONGEST_BEFORE + 1).otherwise(q)).alias("code_before"), deleted.alias("deleted"), F.when(F.col("l_returnflag") == "A", "c").otherwise("python").alias("language"), F.lit("MODIFY").alias("change_type"))
+    changes = line.select(F.col("l_orderkey").alias("hash"), path.alias("filename"), F.lit("").alias("old_path"), F.repeat(F.lit("x"), q).alias("code_before"), deleted.alias("deleted"), F.when(F.col("l_returnflag") == "A", "c").otherwise("python").alias("language"), F.lit("MODIFY").alias("change_type"))
     orders = table(spark, sf_dir, "orders")
     cve = F.concat(F.lit("CVE-2024-"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))
     commits, fixes = orders.select(F.col("o_orderkey").alias("hash"), F.col("o_orderpriority").alias("repo")), orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("hash"), cve.alias("cve_id"))
     named = orders.select(cve.alias("cve_id"), F.when(F.col("o_custkey") % 4 == 0, "NVD-noinfo").otherwise(F.concat(F.lit("CWE-"), (F.col("o_custkey") % 90).cast("string"))).alias("cwe_id"))
-    return evaluation.with_skip_reason(evaluation.fixed_files(changes, commits, fixes, ["python"], ["MODIFY"]), evaluation.weaknesses(named))
+    return evaluation.with_skip_reason(evaluation.fixed_files(changes, commits, fixes, ["python"], ["MODIFY"]), evaluation.weaknesses(named), longest=49)
 
 
 _REASONS = f"""o AS (SELECT o_orderkey, o_custkey, o_custkey % 4 = 0 AS bare FROM orders WHERE o_orderkey % 3 = 0), c AS ({_CHANGES}),
