@@ -7,8 +7,9 @@ words of a batch are looked up together in one sorted array of known pairs (the
 before is merged once and remembered. Only words with a failing pair go through exact merging, with a heap, so that a word
 of a million characters costs n log n.
 
-Edge cases: a null or empty text has no tokens and decodes to the empty text; repeated rows give repeated rows; an empty
-table gives an empty table; extra columns are ignored. The strings of special tokens in a text become their ids, as the
+Edge cases: a null or empty text has no tokens and decodes to the empty text; a text of any length is encoded whole; equal
+ranks (ties) merge from the left; repeated rows give repeated rows; an empty table gives an empty table; extra columns are
+ignored, whatever their names. The strings of special tokens in a text become their ids, as the
 tokenizers library does by default.
 """
 
@@ -38,7 +39,7 @@ END = "</w>"
 #: Stands for END in one letter that is no byte's.
 LAST = "\ue000"
 #: Runs between blanks, words, and pairs remembered by one Python worker; beyond, the oldest go, results stay the same.
-MEMORY, PAIR_CACHE = 600_000, 1_000_000
+MEMORY, PAIR_CACHE = 300_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
