@@ -9,7 +9,10 @@ from auditweave.llm.bpe import bpe_round_trip
 from auditweave.llm.forest import quality_rules
 from auditweave.llm.media import store_and_sniff
 from auditweave.llm.mixing import mixed
+from auditweave.llm.negatives import mined
 from auditweave.llm.ngram_join import near_duplicates
+from auditweave.llm.periodic import periodic_runs, run_digest, with_repeats
+from auditweave.llm.pii import personal_digest
 from auditweave.llm.rulefit import quality_scores
 from auditweave.llm.secrets import secret_digest
 from auditweave.llm.substrings import removed_passages
@@ -61,6 +64,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_sniff(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(table(spark, sf_dir, "embeddings"))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_substrings": op1_substrings,
     "op2_secrets": op2_secrets,
@@ -72,6 +87,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
+    "op11_negatives": op11_negatives,
+    "op12_pii": op12_pii,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2, "op6_ngram_join": sql.OP6, "op7_warc": sql.OP7}
+ORACLE_SQL: dict[str, str] = {"op1_substrings": sql.OP1, "op2_secrets": sql.OP2, "op6_ngram_join": sql.OP6, "op7_warc": sql.OP7, "op11_negatives": sql.OP11}
