@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +174,7 @@ def runs_of_texts(texts: list[list[bytes]], least: int = LEAST) -> list[list[tup
     """Runs of each text, (start, end, period)."""
     number: dict[bytes, int] = defaultdict(count().__next__)
     sizes = np.array([len(t) for t in texts], np.int64)
-    ids = np.fromiter((v for t in texts for v in map(number.__getitem__, t)), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(texts)), sizes)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     chosen = repeats_within(ids, owner, len(texts), max(least // 2, 1))

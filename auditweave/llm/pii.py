@@ -56,7 +56,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 MAIL_WORDS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9-])", re.I)
-MAIL_DOTS = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ", re.I)
+MAIL_SIGNS = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.I)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+@.])(?:\(?[0-9]{2,5}\)?[ ./-]{1,2}){1,5}[0-9]{2,8}(?![0-9A-Za-z@])")
@@ -64,7 +64,16 @@ LOCAL_FORMS = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}|0[
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Herrn|Señor|Señora|Monsieur|Madame|Mme|Mlle"
 FIRST = "Anna|Maria|Laura|Julia|Sarah|Emma|Sophie|Clara|Helena|Martha|Susan|Karen|Linda|Nancy|Lisa|Sandra|Ashley|Emily|Donna|Carol|James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Daniel|Matthew|Anthony|Mark|Steven|Paul|Andrew|Peter|Hans|Klaus|Jürgen|Wolfgang|Stefan|Andreas|Markus|Heike|Sabine|Ursula|Monika|Petra|Pierre|Jacques|François|Nicolas|Julien|Camille|Nathalie|Isabelle|Sylvie|Carlos|José|Antonio|Manuel|Francisco|Javier|Miguel|Carmen|Dolores|Pilar|Lucía|Elena"
 NAME = r"[A-ZÀ-Þ][a-zß-ÿ]{1,30}(?:-[A-ZÀ-Þ][a-zß-ÿ]{1,30})?"
-PERSON = re.compile(rf"\b(?:(?:{TITLES})\.? (?:{NAME})(?: {NAME}){{0,2}}|(?:{FIRST}) {NAME})\b")
+
+
+def persons() -> re.Pattern:
+    """A title and names, or a first name and a name; by first letter, so that the search skips to capitals that can begin one."""
+    by = lambda names, c: "|".join(x[1:] for x in names.split("|") if x[0] == c) or "(?!)"
+    letters = sorted({x[0] for x in f"{TITLES}|{FIRST}".split("|")})
+    return re.compile("|".join(rf"{c}(?<!\w.)(?:(?:{by(TITLES, c)})\.? {NAME}(?: {NAME}){{0,2}}|(?:{by(FIRST, c)}) {NAME})\b" for c in letters))
+
+
+PERSON = persons()
 TITLED, NAMED = re.compile(rf"(?:{TITLES})\.? "), re.compile(rf"(?:(?:{TITLES})\.? )?(?:{FIRST})\b")
 SURNAMES = frozenset("Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Thompson White Harris Clark Lewis Robinson Walker Young King Wright Scott Green Baker Adams Nelson Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Hofmann Lange Krüger Bernard Dubois Durand Moreau Laurent Lefebvre Leroy Roux Fournier Girard Bonnet Dupont Lambert García González Rodríguez Fernández López Martínez Sánchez Pérez Gómez Ruiz Hernández Díaz Moreno Álvarez Romero Navarro Torres".split())
 TLDS = frozenset("com org net edu gov mil int info biz name io co uk de fr es it nl be ch at eu us ca au jp cn in br mx pl pt se no dk fi ie ru dev app example test local".split())
@@ -145,10 +154,14 @@ MORE = {"mail_words": MAIL_WORDS, "iban": IBAN, "ssn": SSN, "person": PERSON}
 DIGIT = re.compile("[0-9]")
 
 
+def spelled_mail(t: str) -> bool:
+    return any(x in t for x in (" dot ", " DOT ", " Dot ")) or (any(x in t for x in "([{") and MAIL_SIGNS.search(t) is not None)
+
+
 def candidates(t: str) -> list[tuple[int, int, int]]:
     """(start, kind, end): all base spans, and further ones that overlap neither those nor one another (earlier kinds first)."""
     digits = DIGIT.search(t) is not None
-    has = {"email": "@" in t, "phone": "+" in t, "mail_words": MAIL_DOTS.search(t) is not None, "person": True}
+    has = {"email": "@" in t, "phone": "+" in t, "mail_words": spelled_mail(t), "person": True}
     base = [(s, k, e) for k, kind in enumerate(BASE) if has.get(kind, digits) for s, e in SPANS[kind](t)]
     out = sorted(base)
     taken = sorted((s, e) for s, _, e in out)
