@@ -20,21 +20,35 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,line,text>> of all matches, left to right; start counts code points from 0, line from 1. No zero-width patterns.
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """Running sums of an array (or any associative join), in log2(size) passes: no array grows by one item at a time."""
 
-    The matches and the pieces between them are computed once each, and only for a text that matches."""
+    def scanned(x: Column) -> Column:
+        strides = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda d: d < F.size(x))
+        return F.aggregate(strides, x, lambda acc, d: F.transform(acc, lambda v, i: F.when(i >= d, join(F.get(acc, i - d), v)).otherwise(v)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, line = acc["at"] + F.length(x["p"]), acc["line"] + newlines(x["p"])
-        one = F.struct(start.alias("start"), line.alias("line"), x["h"].alias("text"))
-        return F.struct((start + F.length(x["h"])).alias("at"), (line + newlines(x["h"])).alias("line"), F.array_append(acc["out"], one).alias("out"))
+    return bind(values, scanned)
 
-    none = F.array().cast("array<struct<start:int,line:int,text:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), none.alias("out"))
-    pairs = lambda hits: F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("p"), hits.alias("h"))
-    walked = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.aggregate(pairs(hits), start, step)["out"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
+
+def located(text: Column, pattern: str | Column, group: int = 0) -> Column:
+    """array<struct<start,line,text,tail>> of all matches, left to right; start counts code points from 0, line from 1, tail is the length of a group. No zero-width patterns.
+
+    A text is cut at its matches once; lengths and line ends of the pieces are summed together, so the cost follows the text."""
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    both = lambda x: F.length(x).cast("long") * (1 << 32) + newlines(x)
+
+    def placed(hits: Column, pieces: Column, tails: Column) -> Column:
+        one = lambda h, i, sums: F.struct((F.shiftright(F.get(sums, i), 32).cast("int") - F.length(h)).alias("start"), ((F.get(sums, i) % (1 << 32)).cast("int") - newlines(h) + 1).alias("line"), h.alias("text"), F.length(F.get(tails, i)).alias("tail"))
+        return bind(running(F.transform(hits, lambda h, i: both(F.get(pieces, i)) + both(h))), lambda sums: F.transform(hits, lambda h, i: one(h, i, sums)))
+
+    all_of = lambda k: F.regexp_extract_all(text, regex, F.lit(k))
+    found = bind(all_of(0), lambda hits: bind(F.split(text, regex, -1), lambda pieces: bind(all_of(group), lambda tails: placed(hits, pieces, tails)) if group else placed(hits, pieces, hits)))
+    return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast("array<struct<start:int,line:int,text:string,tail:int>>"))
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start,line,text>> of all matches, left to right."""
+    return F.transform(located(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["line"].alias("line"), m["text"].alias("text")))
 
 
 def line_at(text: Column, line: Column) -> Column:
