@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditweave.functions.text import bind, located, running
 from auditweave.llm.shared import cut, unused
 
 #: Kinds in the order of ties. The first three are the base.
@@ -33,23 +34,15 @@ LEAST_ASSIGN, WEAK_ASSIGN, SECRET_HEX = 12, 6, 32
 WEAK_ID = r"""(?i:access_?key(?:_?id)?|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}"""
 ENDPOINT = r"""(?i:https?|ftp|jdbc:[a-z]+|postgres|postgresql|mysql|redis|amqp|mongodb)://[A-Za-z0-9_.~:/@%?&=+-]+"""
 PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "weak_id": WEAK_ID, "endpoint": ENDPOINT}
+#: Code points of a piece when spans are cut out of a text; a power of two.
+CHUNK = 1024
 SPAN = "array<struct<start:int,ord:int,end:int,tail:int>>"
 
 
 def found(text: Column, kind: str) -> Column:
     """start, order of kind, end and length of the first group of every match, left to right."""
-    hits, order = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.lit(KINDS.index(kind))
-    tails = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1)) if kind == "assign" else hits
-    pieces = F.split(text, PATTERNS[kind], -1)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        return F.struct((start + F.length(x["h"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), order.alias("ord"), (start + F.length(x["h"])).alias("end"), F.length(x["t"]).alias("tail")))).alias("out"))
-
-    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("p"), hits.alias("h"), tails.alias("t"))
-    none = F.array().cast(SPAN)
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    return F.when(F.regexp_like(text, F.lit(PATTERNS[kind])), walked).otherwise(none)
+    one = lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), (m["start"] + F.length(m["text"])).alias("end"), m["tail"].alias("tail"))
+    return F.transform(located(text, PATTERNS[kind], 1 if kind == "assign" else 0), one).cast(SPAN)
 
 
 def spelled(spans: Column) -> Column:
@@ -101,10 +94,19 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = secret_spans(docs, id_col, text_col).select(F.col("doc_id").alias(of), F.col("th").alias(hashed), F.array_sort(F.concat("base", "added")).alias(found)).filter(F.size(found) > 0).dropDuplicates([of, hashed])
     t = F.col(text_col)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(t.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def cut_out(chunks: Column) -> Column:
+        """The text between spans, from chunks of CHUNK code points: a place is found in its chunk, not from the text's beginning."""
+        of = lambda x: F.shiftright(x, CHUNK.bit_length() - 1)
+        between = lambda a, b: F.array_join(F.slice(chunks, of(a) + 1, of(b - 1) - of(a) + 1), "").substr(a % CHUNK + 1, b - a)
+        gap = lambda a, b: F.when(b > a, between(a, b)).otherwise("")
+
+        def joined(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            kept = F.transform(F.col(found), lambda s, i: F.when(s["start"] >= before(i), F.concat(gap(before(i), s["start"]), F.lit("[SECRET]"))).otherwise(""))
+            return F.concat(F.array_join(kept, ""), gap(F.element_at(ends, -1), F.length(t)))
+
+        return bind(running(F.transform(F.col(found), lambda s: s["end"]), F.greatest), joined)
 
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], t.substr(a["at"] + 1, F.length(t))))
+    done = bind(F.regexp_extract_all(t, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)), cut_out)
     joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col(hashed)), "left")
     return joined.withColumn(text_col, F.when(F.col(found).isNull(), t).otherwise(done)).select(*docs.columns)

@@ -59,3 +59,15 @@ def test_clashing_columns_and_very_long_text_pass_redaction(spark):
     rows = [(1, long, "o", "h", 7), (2, "password: abcdefghijklmnop", "p", None, 8), (None, None, None, "x", 9)]
     got = {r.doc_id: tuple(r) for r in S.redacted(spark.createDataFrame(rows, "doc_id long, text string, of string, Hashed string, _found int")).collect()}
     assert got == {1: (1, "word " * 200_000 + "[SECRET]" + " tail" * 1000, "o", "h", 7), 2: (2, "[SECRET]", "p", None, 8), None: rows[2]}
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é password=abcdefgh12345 token: zzzzzzzzzzzzz\n"), 50_000).alias("text"))
+    began = time.time()
+    [row] = redacted(df).collect()
+    assert row.text == "é [SECRET] [SECRET]\n" * 50_000
+    assert time.time() - began < 60
