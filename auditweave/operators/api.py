@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.functions.rules import RULES, SUPERSEDED, group_of, rules_of
-from auditweave.operators import compliance, findings, flow, patterns, redos, structural
+from auditweave.operators import compliance, findings, flow, redos, ruleindex, structural
 from auditweave.sources import exports, files, reports
 
 
 def scan_source(spark: SparkSession, root: str, only: set[str] | None = None) -> DataFrame:
     """All source tiers over a tree, resolved: patterns, data flow, structural rules, costly expressions."""
     tree = files.with_vendored(files.with_own_release(files.source_files(spark, root))).filter("not vendored")
-    own = patterns.pattern_findings(files.with_code_view(tree), rules_of(only))
+    own = ruleindex.indexed_findings(files.with_code_view(tree), rules_of(only))
     tiers = [own.select("detector_id", "severity", "confidence", "cwe", "file", "line", "evidence", "source", "rule_ord", "start")]
     lines = tree.select("file", F.split("text", "\n", -1).alias("_lines"))
     for found, source in ((flow.project_paths(tree).withColumnRenamed("sink_id", "detector_id"), "taint"), (structural.structural_findings(tree), "structural"), (redos.redos_findings(tree), "redos")) if only is None else ():

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from auditweave.functions import text
 from auditweave.functions.codeview import code_view
 from auditweave.functions.rules import RULES, SUPERSEDED
-from auditweave.operators import evaluation, flow, model_merge, patterns, redos, structural
+from auditweave.operators import evaluation, flow, model_merge, redos, ruleindex, structural
 from auditweave.operators.findings import deduplicated
+from auditweave.plans import rulecases
 from auditweave.plans.corpus import table
 from auditweave.sources import exports, files, reports
 
@@ -61,10 +62,26 @@ def q41_rule_tier(spark, sf_dir):
     """All rules of the dimension over one source file for each part, with the code view."""
     k = F.col("p_size")
     rows = table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), chosen([e for e, *_ in SNIPPETS], k)).alias("file"), chosen([e for e, *_ in SNIPPETS], k).alias("ext"), chosen([t for _, t, *_ in SNIPPETS], k).alias("text"))
-    found = deduplicated(patterns.pattern_findings(rows.withColumn("code_view", code_view(F.col("text"), F.col("ext"))), RULES), SUPERSEDED, ["rule_ord", "start"])
+    found = deduplicated(ruleindex.indexed_findings(rows.withColumn("code_view", code_view(F.col("text"), F.col("ext"))), RULES), SUPERSEDED, ["rule_ord", "start"])
     return long_line(found.select("detector_id", "file", "line"), "line")
 
 
+_N = len(rulecases.CASES)
+_RULES = "(VALUES " + ", ".join(f"({k}, {quoted(r)}, {quoted('/Dockerfile' if e == rulecases.DOCKER else e)})" for k, (r, e, *_) in enumerate(rulecases.CASES)) + ") AS c(k, detector_id, tail)"
+
+
+@query(f"SELECT detector_id, 'src/f' || p_partkey || tail AS file, p_size + 1::BIGINT AS line, CASE WHEN p_size % 2 = 0 THEN 'test' ELSE p_brand END AS made FROM part JOIN {_RULES} ON p_partkey % {_N} = k WHERE p_size % 4 <> 0")
+def q57_every_rule(spark, sf_dir):
+    """Every rule of the dimension: a file for each part, with a match behind as many lines as the part's size, or a near miss; all rules look at all files."""
+    case, miss = F.col("p_partkey"), F.col("p_size") % 4 == 0
+    ext = chosen([e for _, e, *_ in rulecases.CASES], case)
+    code = F.when(miss, chosen([n for *_, n in rulecases.CASES], case)).otherwise(chosen([m for *_, m, _ in rulecases.CASES], case))
+    tail = F.when(ext == rulecases.DOCKER, "/Dockerfile").otherwise(ext)
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("src/f"), case.cast("string"), tail).alias("file"), F.when(ext == rulecases.DOCKER, "").otherwise(ext).alias("ext"), F.concat(F.repeat(F.lit("a = 1\n"), F.col("p_size")), code, F.lit("\n")).alias("text"), F.when(F.col("p_size") % 2 == 0, "test").otherwise(F.col("p_brand")).alias("made"))
+    found = deduplicated(ruleindex.indexed_findings(rows.withColumn("code_view", code_view(F.col("text"), F.col("ext"))), RULES, ["made"]), SUPERSEDED, ["rule_ord", "start"])
+    return long_line(found.select("detector_id", "file", "line", "made"), "line")
+
+
 # --- flow over projects of three files, one project for each supplier
 
 CASES = ["eval(b)", "eval(int(b))", "eval(a)", "eval(1)"]
