@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditweave.functions.levels import SEVERITIES, severity_rank
+from auditweave.operators.imports import checkpointed
+from auditweave.operators.ranges import ordered, running_sums
 
 #: Verdicts, lengths of texts that are kept, and the business-logic classes with the weaknesses that they restate.
 VERDICTS = ("unverified", "confirmed", "plausible", "refuted")
@@ -108,19 +110,38 @@ def logic_outcomes(findings: DataFrame, logic: DataFrame, handlers: DataFrame, s
 def packed_chunks(files: DataFrame, budget: int, most: int, order: list[str | Column], scan: list[str] | None = None) -> DataFrame:
     """files: file, n (characters). Adds chunk: files in order fill a chunk until the next one would pass the budget; files beyond the last chunk have none.
 
-    Only the running sum since the last reset decides, so a scan's files are folded as one array of (n); a scan is one project."""
-    by = scan or [F.lit(0).alias("_one")]
-    rows = files.withColumn("_o", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    sizes = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_o", "n", "file"))).alias("all"))
-    step = lambda a, x: F.when((a["used"] > 0) & (a["used"] + x["n"] > budget), F.struct((a["chunk"] + 1).alias("chunk"), x["n"].cast("long").alias("used"))).otherwise(F.struct(a["chunk"].alias("chunk"), (a["used"] + x["n"]).cast("long").alias("used")))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<file:string,chunk:int>>").alias("out"))
-
-    def fold(a: Column, x: Column) -> Column:
-        s = step(a, x)
-        return F.struct(s["chunk"].alias("chunk"), s["used"].alias("used"), F.array_append(a["out"], F.struct(x["file"].alias("file"), s["chunk"].alias("chunk"))).alias("out"))
-
-    packed = sizes.select(*(scan or []), F.explode(F.aggregate("all", start, fold)["out"]).alias("p"))
-    return packed.select(*(scan or []), "p.file", F.when(F.col("p.chunk") < most, F.col("p.chunk")).alias("chunk"))
+    For every file, where a chunk that begins there ends is a place in the running sums: the file whose share of them holds the
+    sum before plus the budget (one window over stretches of a budget's length). Following these ends from the first file,
+    twice as far in each round, marks the files where chunks begin; their running count numbers the chunks. No step holds a
+    scan in one task or array. A file without a size counts as empty; an empty chunk takes a file of any size."""
+    kept = scan or []
+    one_scan = F.to_json(F.struct(*scan)) if scan else F.lit("")
+    by = ["_scan"]
+    rows = ordered(files.withColumns({"n": F.coalesce(F.col("n").cast("long"), F.lit(0)), "_scan": one_scan}), by if scan else [], order)
+    rows = running_sums(rows, by, {"_pos": F.lit(1), "_to": F.col("n")}).withColumn("_from", F.col("_to") - F.col("n"))
+    rows = checkpointed(rows.select(*by, *kept, "file", "n", "_part", "_at", "_pos", "_from", "_to"))
+    width = max(budget, 1)
+    stretch = lambda x: F.floor(x / F.lit(width)).cast("long")
+    takes = rows.filter("n > 0").select(*by, F.explode(F.sequence(stretch(F.col("_from")), stretch(F.col("_to") - 1))).alias("_b"), "_from", F.col("_pos").alias("_p"))
+    takes = takes.select(*by, "_b", F.greatest("_from", F.col("_b") * width).alias("_v"), F.lit(0).alias("_k"), F.struct("_p", "_from").alias("_item"), F.lit(None).cast("long").alias("_pos"), F.lit(None).cast("long").alias("_start"))
+    asks = rows.select(*by, stretch(F.col("_from") + budget).alias("_b"), (F.col("_from") + budget).alias("_v"), F.lit(1).alias("_k"), F.lit(None).cast("struct<_p:bigint,_from:bigint>").alias("_item"), "_pos", F.col("_from").alias("_start"))
+    holds = F.last("_item", True).over(Window.partitionBy(*by, "_b").orderBy("_v", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    ends = takes.unionByName(asks).withColumn("_held", holds).filter("_k = 1")
+    fits_none = F.col("_held._from") <= F.col("_start")  # nothing before it in the chunk: it is taken, whatever its size
+    total = rows.groupBy(*by).agg(F.max("_to").alias("_all"))
+    jump = checkpointed(ends.join(total, by).filter(F.col("_v") < F.col("_all")).select(*by, "_pos", (F.col("_held._p") + fits_none.cast("long")).alias("_next")))
+    marks, reach = checkpointed(rows.filter("_pos = 1").select(*by, "_pos")), 1
+    while reach <= most:
+        more = checkpointed(marks.join(jump, [*by, "_pos"]).select(*by, F.col("_next").alias("_pos")))
+        if not more.limit(1).count():
+            break
+        marks, reach = marks.union(more), 2 * reach
+        if reach <= most:
+            beyond = jump.select(*by, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+            jump = checkpointed(jump.join(beyond, [*by, "_next"]).select(*by, "_pos", F.col("_far").alias("_next")))
+    begun = marks.withColumn("_begins", F.lit(1))
+    chunk = running_sums(rows.join(begun, [*by, "_pos"], "left"), by, {"_chunk": F.coalesce("_begins", F.lit(0))})
+    return chunk.select(*kept, "file", F.when(F.col("_chunk") <= most, (F.col("_chunk") - 1).cast("int")).alias("chunk"))
 
 
 #: Names under which a model may answer; only ``none`` and ``replay`` work without a network.

@@ -201,6 +201,21 @@ def q47_logic_merge(spark, sf_dir):
     return model_merge.logic_outcomes(found, logic, spans, spans.select("file")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+CHUNK = 20_000
+
+
+@query(
+    f"""WITH RECURSIVE f AS (SELECT coalesce(source, '') AS source, doc_id, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS o FROM documents),
+ r AS (SELECT source, doc_id, o, 0 AS chunk, n AS used FROM f WHERE o = 1
+  UNION ALL SELECT f.source, f.doc_id, f.o, CASE WHEN used > 0 AND used + n > {CHUNK} THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + n > {CHUNK} THEN n ELSE used + n END FROM r JOIN f ON f.source = r.source AND f.o = r.o + 1)
+ SELECT source, doc_id, CASE WHEN chunk < 1000000 THEN chunk::BIGINT END AS chunk FROM r"""
+)
+def q58_packed_chunks(spark, sf_dir):
+    """All documents of a source, in order, packed into chunks of a budget of characters."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").alias("file"), F.length("text").alias("n"))
+    return long_line(model_merge.packed_chunks(docs, CHUNK, 1_000_000, ["file"], ["source"]).withColumnRenamed("file", "doc_id"), "chunk")
+
+
 # --- evaluation corpora
 
 _CHANGES = "SELECT l_orderkey AS hash, CASE WHEN l_linenumber % 5 = 0 THEN 'tests/' ELSE 'src/' END || 'f' || l_partkey || '.py' AS path, l_quantity::INT AS q, l_partkey % 50 + 1 AS place FROM lineitem WHERE l_returnflag <> 'A'"
