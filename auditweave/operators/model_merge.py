@@ -115,9 +115,9 @@ def packed_chunks(files: DataFrame, budget: int, most: int, order: list[str | Co
     twice as far in each round, marks the files where chunks begin; their running count numbers the chunks. No step holds a
     scan in one task or array. A file without a size counts as empty; an empty chunk takes a file of any size."""
     kept = scan or []
-    one_scan = F.to_json(F.struct(*scan)) if scan else F.lit("")
+    one_scan = F.to_json(F.struct(*scan)) if scan else F.coalesce(F.substring(F.col("file").cast("string"), 1, 0), F.lit(""))  # no literal: plans of unions over a constant column break
     by = ["_scan"]
-    rows = ordered(files.withColumns({"n": F.coalesce(F.col("n").cast("long"), F.lit(0)), "_scan": one_scan}), by if scan else [], order)
+    rows = ordered(files.withColumns({"n": F.coalesce(F.col("n").cast("long"), F.lit(0)), "_scan": one_scan}), by, order)
     rows = running_sums(rows, by, {"_pos": F.lit(1), "_to": F.col("n")}).withColumn("_from", F.col("_to") - F.col("n"))
     rows = checkpointed(rows.select(*by, *kept, "file", "n", "_part", "_at", "_pos", "_from", "_to"))
     width = max(budget, 1)
