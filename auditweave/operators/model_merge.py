@@ -115,9 +115,9 @@ def packed_chunks(files: DataFrame, budget: int, most: int, order: list[str | Co
     twice as far in each round, marks the files where chunks begin; their running count numbers the chunks. No step holds a
     scan in one task or array. A file without a size counts as empty; an empty chunk takes a file of any size."""
     kept = scan or []
-    one_scan = F.to_json(F.struct(*scan)) if scan else F.coalesce(F.substring(F.col("file").cast("string"), 1, 0), F.lit(""))  # no literal: plans of unions over a constant column break
+    one_scan = F.to_json(F.struct(*scan)) if scan else F.lit("")
     by = ["_scan"]
-    rows = ordered(files.withColumns({"n": F.coalesce(F.col("n").cast("long"), F.lit(0)), "_scan": one_scan}), by, order)
+    rows = ordered(files.withColumns({"n": F.coalesce(F.col("n").cast("long"), F.lit(0)), "_scan": one_scan}), by if scan else [], order)
     rows = running_sums(rows, by, {"_pos": F.lit(1), "_to": F.col("n")}).withColumn("_from", F.col("_to") - F.col("n"))
     rows = checkpointed(rows.select(*by, *kept, "file", "n", "_part", "_at", "_pos", "_from", "_to"))
     width = max(budget, 1)
@@ -130,15 +130,12 @@ def packed_chunks(files: DataFrame, budget: int, most: int, order: list[str | Co
     fits_none = F.col("_held._from") <= F.col("_start")  # nothing before it in the chunk: it is taken, whatever its size
     total = rows.groupBy(*by).agg(F.max("_to").alias("_all"))
     jump = checkpointed(ends.join(total, by).filter(F.col("_v") < F.col("_all")).select(*by, "_pos", (F.col("_held._p") + fits_none.cast("long")).alias("_next")))
-    marks, reach = checkpointed(rows.filter("_pos = 1").select(*by, "_pos")), 1
-    while reach <= most:
-        more = checkpointed(marks.join(jump, [*by, "_pos"]).select(*by, F.col("_next").alias("_pos")))
-        if not more.limit(1).count():
-            break
-        marks, reach = marks.union(more), 2 * reach
-        if reach <= most:
-            beyond = jump.select(*by, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
-            jump = checkpointed(jump.join(beyond, [*by, "_next"]).select(*by, "_pos", F.col("_far").alias("_next")))
+    marks, reach, there = checkpointed(rows.filter("_pos = 1").select(*by, "_pos")), 1, -1
+    while reach <= most and there < (there := marks.count()):
+        both = marks.join(jump, [*by, "_pos"], "left").select(*by, F.explode(F.array("_pos", "_next")).alias("_pos"))
+        marks, reach = checkpointed(both.filter("_pos is not null")), 2 * reach
+        beyond = jump.select(*by, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jump = checkpointed(jump.join(beyond, [*by, "_next"]).select(*by, "_pos", F.col("_far").alias("_next")))
     begun = marks.withColumn("_begins", F.lit(1))
     chunk = running_sums(rows.join(begun, [*by, "_pos"], "left"), by, {"_chunk": F.coalesce("_begins", F.lit(0))})
     return chunk.select(*kept, "file", F.when(F.col("_chunk") <= most, (F.col("_chunk") - 1).cast("int")).alias("chunk"))

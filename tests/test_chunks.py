@@ -31,4 +31,7 @@ def test_against_a_walk(spark, budget, most):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "scan string, file string, n long")
     assert {(r.scan, r.file): r.chunk for r in packed_chunks(df, budget, most, ["file"], ["scan"]).collect()} == want
+    sizes = [n for scan, _, n in rows if scan == "a"]
+    alone = spark.createDataFrame([(f"f{i:04}", n) for i, n in enumerate(sizes)], "file string, n long")
+    assert {r.file: r.chunk for r in packed_chunks(alone, budget, most, ["file"]).collect()} == {f"f{i:04}": c for i, c in enumerate(walk(sizes, budget, most))}
     assert packed_chunks(df.limit(0), budget, most, ["file"], ["scan"]).collect() == []
