@@ -54,10 +54,37 @@ def deduplicated(findings: DataFrame, superseded_by: dict[str, Sequence[str]], o
 def corroborated(findings: DataFrame, order: Sequence[str], window: int = CORROBORATION) -> DataFrame:
     """Pairs each non-taint row with at most one taint row of the same file and cwe, nearest lines first, then by order.
 
-    The pattern row takes the taint path, and high confidence if the path has it; absorbed taint rows go. Candidates never
-    cross (file, cwe). Many small groups share a slot, so Python is called once for a slot and not for every group; slots
-    follow spark.sql.shuffle.partitions. Needs taint_path and confidence."""
-    schema, names = findings.schema, findings.columns
+    The pattern row takes the taint path, and high confidence if the path has it; absorbed taint rows go. Needs taint_path
+    and confidence. Rows on one line come before all other pairs, so there the first pattern row takes the first taint row, the
+    second the second, by one window for each line. What is left is cut into islands of lines, no nearer to each other than the
+    window; only islands with both kinds of rows have pairs left, and only their rows are walked, pair by pair. So a file and
+    cwe of any size is split by its lines; an island's rows left over are one list of a task. Many small islands share a slot,
+    so Python is called once for a slot; slots follow spark.sql.shuffle.partitions."""
+    key, columns = ["file", "cwe"], findings.columns
+    taint = F.coalesce(F.col("source") == "taint", F.lit(False))
+    rank = Window.partitionBy(*key, "line", "_taint").orderBy(*order)
+    couple = Window.partitionBy(*key, "line", "_nth")
+    rows = findings.withColumn("_taint", taint).withColumn("_nth", F.row_number().over(rank))
+    rows = rows.withColumn("_both", (F.min("_taint").over(couple) != F.max("_taint").over(couple)) & F.col("line").isNotNull())
+    taken = lambda c: F.max(F.when(F.col("_taint"), F.col(c))).over(couple)
+    absorbed = F.col("_both") & ~F.col("_taint")
+    path, sure = F.when(absorbed, taken("taint_path")).otherwise(F.col("taint_path")), F.when(absorbed & (taken("confidence") == "high"), "high").otherwise(F.col("confidence"))
+    rows = rows.withColumns({"_path": path, "_sure": sure}).filter(~(F.col("_both") & F.col("_taint"))).withColumns({"taint_path": F.col("_path"), "confidence": F.col("_sure")})
+    lines = rows.filter(~F.col("_both")).groupBy(*key, "line").agg(F.max("_taint").alias("_t"), F.max(~F.col("_taint")).alias("_p"))
+    far = F.coalesce(F.col("line") - F.lag("line").over(Window.partitionBy(*key).orderBy("line")) > window, F.lit(True))
+    lines = lines.withColumn("_far", far).withColumn("_island", F.sum(F.col("_far").cast("long")).over(Window.partitionBy(*key).orderBy("line")))
+    whole = Window.partitionBy(*key, "_island")
+    lines = lines.withColumn("_open", F.max("_t").over(whole) & F.max("_p").over(whole)).filter("_open").select(*(F.col(c).alias(f"_{c}") for c in (*key, "line")), "_island")
+    same = F.col("file").eqNullSafe(F.col("_file")) & F.col("cwe").eqNullSafe(F.col("_cwe")) & (F.col("line") == F.col("_line")) & ~F.col("_both")
+    rows = rows.join(lines, same, "left").select(*columns, "_island")
+    left = rows.filter("_island is not null")
+    return rows.filter("_island is null").select(*columns).unionByName(_walked(left, columns, order, window))
+
+
+def _walked(findings: DataFrame, columns: Sequence[str], order: Sequence[str], window: int) -> DataFrame:
+    """The pairs of islands, the nearest that is left taken each time."""
+    findings = findings.select(*columns, "_island")
+    names, schema = columns, findings.select(*columns).schema
     slots = 4 * int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = {n: names.index(n) for n in (*order, "file", "cwe", "source", "line", "confidence", "taint_path")}
 
@@ -82,12 +109,12 @@ def corroborated(findings: DataFrame, order: Sequence[str], window: int = CORROB
 
     def slot(table: pa.Table) -> pa.Table:
         groups: dict[tuple, list[list]] = defaultdict(list)
-        for r in zip(*(table.column(n).to_pylist() for n in names), strict=True):
-            groups[r[at["file"]], r[at["cwe"]]].append(list(r))
+        for r in zip(*(table.column(n).to_pylist() for n in (*names, "_island")), strict=True):
+            groups[r[at["file"]], r[at["cwe"]], r[-1]].append(list(r[:-1]))
         out = [r for g in groups.values() for r in (pair(g) if len(g) > 1 else g)]
         return pa.table([pa.array([r[k] for r in out], table.schema.field(n).type) for k, n in enumerate(names)], names)
 
-    return findings.withColumn("_slot", F.pmod(F.xxhash64("file", "cwe"), F.lit(slots))).groupBy("_slot").applyInArrow(slot, schema)
+    return findings.withColumn("_slot", F.pmod(F.xxhash64("file", "cwe", "_island"), F.lit(slots))).groupBy("_slot").applyInArrow(slot, schema)
 
 
 def by_severity(findings: DataFrame, then: Sequence[str | Column] = ("file", "line")) -> DataFrame:

@@ -121,3 +121,14 @@ ORACLE_SQL = {
  c AS (SELECT page_id AS importer, unnest([host || path, bare || path, 'www.' || bare || path, 'm.' || bare || path]) AS file, unnest([0, 1, 2, 3]) AS o FROM b) SELECT importer, arg_min(file, o) AS resolved FROM c WHERE file IN (SELECT host || path FROM p WHERE page_id % 3 <> 0) GROUP BY 1""",
     "q40_miss_causes": f"WITH {LABELLED} SELECT CASE WHEN loose THEN 'other weakness' WHEN language <> 'en' THEN 'language' WHEN {SEALED.format('id')} THEN 'sealed' ELSE 'silent' END AS cause, count(*) AS n FROM labelled WHERE is_vulnerable AND NOT strict GROUP BY 1",
 }
+
+#: The nearest pair that is left, again and again: a fold over a group's pairs in their order.
+ORACLE_SQL["q08_corroborate_nearest"] = """
+WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_returnflag AS cwe, CAST(l_linenumber AS BIGINT) AS line, l_partkey % 2 = 0 AS t, CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_suppkey AS VARCHAR) ELSE '' END AS taint_path, l_partkey AS seq,
+  row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS k FROM lineitem),
+e AS (SELECT p.file, p.cwe, list([{'i': p.k, 'j': q.k}] ORDER BY abs(p.line - q.line), p.k, q.k) AS pairs FROM r p JOIN r q ON p.file = q.file AND p.cwe = q.cwe AND NOT p.t AND q.t AND abs(p.line - q.line) <= 3 GROUP BY ALL),
+m AS (SELECT file, cwe, unnest(list_reduce(pairs, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.i = x[1].i OR y.j = x[1].j)) > 0 THEN a ELSE list_concat(a, x) END)) AS p FROM e)
+SELECT r.file, r.cwe, r.line, CASE WHEN r.t THEN 'taint' ELSE 'builtin' END AS source, CASE WHEN q.confidence = 'high' THEN 'high' ELSE r.confidence END AS confidence, coalesce(q.taint_path, r.taint_path) AS taint_path, r.seq
+FROM r LEFT JOIN m ON r.file = m.file AND r.cwe = m.cwe AND NOT r.t AND r.k = m.p.i LEFT JOIN r q ON q.file = m.file AND q.cwe = m.cwe AND q.k = m.p.j
+WHERE NOT (r.t AND EXISTS (SELECT 1 FROM m x WHERE x.file = r.file AND x.cwe = r.cwe AND x.p.j = r.k))
+"""
