@@ -249,6 +249,16 @@ def q30_stream_high_water(spark, sf_dir):
     return high_water_of_table(spark, f"{sf_dir}/events.parquet")
 
 
+@query
+def q59_watch_alerts(spark, sf_dir):
+    """Alerts of the watch over all events as a stream; its state and alerts stay in the shared folder, from which the result is read."""
+    from auditweave.streaming import alerts, watch
+
+    folder = watch.shared_folder(spark, "watch_alerts")
+    alerts.watched(watch.status_stream(spark, f"{sf_dir}/events.parquet"), folder).awaitTermination()
+    return alerts.told(spark, folder).select("cve", "was", "now", F.date_format("since", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("since"), "n")
+
+
 @query
 def q31_session_hunks(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))

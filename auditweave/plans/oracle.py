@@ -132,3 +132,8 @@ SELECT r.file, r.cwe, r.line, CASE WHEN r.t THEN 'taint' ELSE 'builtin' END AS s
 FROM r LEFT JOIN m ON r.file = m.file AND r.cwe = m.cwe AND NOT r.t AND r.k = m.p.i LEFT JOIN r q ON q.file = m.file AND q.cwe = m.cwe AND q.k = m.p.j
 WHERE NOT (r.t AND EXISTS (SELECT 1 FROM m x WHERE x.file = r.file AND x.cwe = r.cwe AND x.p.j = r.k))
 """
+
+ORACLE_SQL["q59_watch_alerts"] = f"""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS cve, {ERANK.format(STATUS)} AS rank, ts FROM events), m AS (SELECT *, max(rank) OVER (PARTITION BY cve) AS top FROM e)
+SELECT cve, 0::BIGINT AS was, max(top)::BIGINT AS now, strftime(min(ts) FILTER (WHERE rank = top), '%Y-%m-%d %H:%M:%S.%f') AS since, count(*) AS n FROM m GROUP BY cve HAVING max(top) > 0
+"""

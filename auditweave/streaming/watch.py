@@ -20,15 +20,24 @@ def high_water(status_events: DataFrame, key: str = "cve", status: str = "exploi
     return status_events.groupBy(key).agg(F.max(rank).alias("rank"), F.count("*").alias("n"))
 
 
-def high_water_of_table(spark: SparkSession, path: str) -> DataFrame:
-    """Reads a table as a stream until its end (availableNow) and returns the final state, from a Parquet table in the warehouse."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def status_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table of events as a stream of advisory, status and time. Read as a pattern, so that a table of one file can be streamed too."""
     status = F.lit("unknown")
     for k, v in STATUS_OF_EVENT.items():
         status = F.when(F.col("event_type") == k, v).otherwise(status)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    run = f"{folder.rstrip('/')}/high_water-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # as a pattern, so that a table of one file can be streamed too
-    marks = high_water(stream.select(F.col("user_id").cast("string").alias("cve"), status.alias("exploitation")))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    return stream.select(F.col("user_id").cast("string").alias("cve"), status.alias("exploitation"), F.col("ts").alias("at"))
+
+
+def high_water_of_table(spark: SparkSession, path: str) -> DataFrame:
+    """Reads a table as a stream until its end (availableNow) and returns the final state, from a Parquet table in the shared folder."""
+    run = shared_folder(spark, "high_water")
+    marks = high_water(status_stream(spark, path))
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{run}/state")
