@@ -92,8 +92,10 @@ def _resolved(x: str, attribute: bool = False) -> str:
     """One pass over the pieces between references; table ``n`` holds one map from names to letters."""
     from auditweave.llm import warc as W
 
-    code = "coalesce(CASE WHEN lower(e)[3] = 'x' THEN try_cast('0x' || e[4:len(e) - 1] AS BIGINT) END, try_cast(e[3:len(e) - 1] AS BIGINT))"
-    number = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::INT) ELSE e END"
+    digits = "('0' || regexp_extract(e, '^&#[xX]?0*([0-9a-fA-F]*)', 1))"
+    plain = f"CASE WHEN len({digits}) > 9 THEN 0 WHEN lower(e)[3] = 'x' THEN try_cast('0x' || {digits} AS BIGINT) ELSE try_cast({digits} AS BIGINT) END"
+    code = f"coalesce((MAP {{{', '.join(f'{k}: {v}' for k, v in W.NUMBERS.items())}}})[{plain}], {plain})"
+    number = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}::INT) ELSE chr(65533) END"
     begun = "NULL" if attribute else f"(m[regexp_extract(e, {_quoted(W.OPEN_NAME)}, 0)] || e[len(regexp_extract(e, {_quoted(W.OPEN_NAME)}, 0)) + 1:])"
     one = f"CASE WHEN e[2] = '#' THEN {number} ELSE coalesce(m[e], {begun}, e) END"
     found, pieces = f"regexp_extract_all({x}, {_quoted(W.REFERENCE)})", f"string_split_regex({x}, {_quoted(W.REFERENCE)})"

@@ -42,7 +42,9 @@ HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 #: A header line of the archived response.
 HEADER = r"(?m)^([!#-'*+.^-z|~A-Z0-9-]+):[ \t]*([^\r\n]*?)[ \t]*\r?$"
 #: What may be a character reference; a name takes the = after it, which tells a parameter in an address from a reference.
-REFERENCE = r"&(?:#[xX]?[0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*[;=]?)"
+REFERENCE = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*[;=]?)"
+#: What HTML reads numbers of windows-1252's letters as, from that encoding itself, and a no-break space as a plain one.
+NUMBERS = {n: ord(bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(128, 160)} | {0xA0: 0x20}
 #: The names that HTML resolves without a semicolon too, longest first.
 OPEN_NAME = "^&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 
@@ -58,17 +60,21 @@ def named_references() -> Column:
 
 
 def resolved(text: Column, attribute: bool = False) -> Column:
-    """Character references resolved, each once and from left to right; numeric ones outside Unicode and unknown names stay.
+    """Character references resolved, each once and from left to right; unknown names stay.
 
+    Numeric ones may lack the semicolon and have any number of zeros before them; as in HTML, 128 to 159 mean the letters of
+    windows-1252, zero, surrogates and numbers beyond Unicode the replacement character. No-break spaces become plain ones.
     Outside attributes a name without semicolon counts even as the beginning of a longer word, as in HTML."""
     names = named_references()
 
     def numeric(e: Column) -> Column:
-        body = e.substr(F.lit(3), F.length(e) - 3)
-        code = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(F.expr("null")).cast("long")
-        code = F.coalesce(code, body.try_cast("long"))
+        digits = F.regexp_replace(F.regexp_extract(e, "^&#[xX]?0*([0-9a-fA-F]*)", 1), "^$", "0")
+        # nine digits are beyond Unicode in either base
+        code = F.when(F.length(digits) > 8, F.lit(0)).otherwise(F.conv(digits, 16, 10).cast("long"))
+        code = F.when(F.regexp_like(e, F.lit("^&#[xX]")), code).otherwise(F.when(F.length(digits) > 8, F.lit(0)).otherwise(digits.try_cast("long")))
+        code = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in NUMBERS.items() for x in kv)), code), code)
         letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), letter).otherwise(e)
+        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), letter).otherwise("\ufffd")
 
     def named(e: Column) -> Column:
         head = F.regexp_extract(e, OPEN_NAME, 0)
