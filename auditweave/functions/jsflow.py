@@ -38,7 +38,8 @@ CALLEE = [(re.compile(p), s, k) for p, s, k in CALLEES]
 HTML_MEMBERS = ("innerHTML", "outerHTML")
 SHELL_METHODS, VM_METHODS = re.compile(r"exec(?:Sync|File|FileSync)?"), re.compile(r"runInThisContext|runInNewContext|runInContext|compileFunction|Script")
 SHELL_MODULES, VM_MODULES, WEB_MODULES = ("child_process", "node:child_process", "shelljs", "node:shelljs"), ("vm", "node:vm"), ("http", "https")
-RESOLVE = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", "/index.js", "/index.ts")
+#: Fixed value: endings that a module name may lack, in the order in which they are tried.
+RESOLVE = (".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", "/index.js", "/index.ts", "/index.jsx", "/index.tsx")
 SHOWN = 120
 
 TOKEN = re.compile(

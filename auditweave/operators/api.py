@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.functions.rules import RULES, SUPERSEDED, group_of, rules_of
-from auditweave.operators import compliance, findings, flow, redos, ruleindex, structural
+from auditweave.operators import compliance, findings, flow, php, redos, ruleindex, structural
 from auditweave.sources import exports, files, reports
 
 
 def scan_source(spark: SparkSession, root: str, only: set[str] | None = None) -> DataFrame:
-    """All source tiers over a tree, resolved: patterns, data flow, structural rules, costly expressions."""
-    tree = files.with_vendored(files.with_own_release(files.source_files(spark, root))).filter("not vendored")
+    """All source tiers over a tree, resolved: patterns, data flow (PHP values too), structural rules, costly expressions. Build folders that a manifest publishes belong to the tree."""
+    tree = files.with_vendored(files.with_own_release(files.project_files(spark, root))).filter("not vendored")
     own = ruleindex.indexed_findings(files.with_code_view(tree), rules_of(only))
     tiers = [own.select("detector_id", "severity", "confidence", "cwe", "file", "line", "evidence", "source", "rule_ord", "start")]
     lines = tree.select("file", F.split("text", "\n", -1).alias("_lines"))
-    for found, source in ((flow.project_paths(tree).withColumnRenamed("sink_id", "detector_id"), "taint"), (structural.structural_findings(tree), "structural"), (redos.redos_findings(tree), "redos")) if only is None else ():
+    for found, source in ((flow.project_paths(tree).withColumnRenamed("sink_id", "detector_id"), "taint"), (structural.structural_findings(tree), "structural"), (redos.redos_findings(tree), "redos"), (php.php_paths(tree, None).withColumnRenamed("sink_id", "detector_id"), "taint")) if only is None else ():
         shown = F.substring(F.trim(F.try_element_at("_lines", F.col("line"))), 1, 200)
         rows = found.drop("evidence").join(lines, "file", "left")
         tiers.append(rows.select("detector_id", "severity", "confidence", "cwe", "file", "line", F.coalesce(shown, F.lit("")).alias("evidence"), F.lit(source).alias("source"), F.lit(0).alias("rule_ord"), F.lit(0).alias("start")))

@@ -14,6 +14,8 @@ from auditweave.functions.text import base_name, extension
 #: Directories that a scan leaves out, the two of them that a package may publish, and the size limit.
 SKIP_DIRS = (".git", "node_modules", "__pycache__", "dist", ".next", "venv", ".venv", "build")
 PUBLISHABLE = ("dist", "build")
+#: Files whose folder is a project.
+MANIFESTS = ("package.json", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile", "manage.py", "composer.json", "go.mod", "pom.xml", "Gemfile", "Cargo.toml")
 MAX_BYTES = 1_000_000
 #: Signs of a vendored asset.
 MINIFIED_NAME = r"(?i)(?:\.min\.|-min\.|\.bundle\.)(?:js|jsx|mjs|cjs|ts|tsx|mts|cts)$"
@@ -35,6 +37,8 @@ def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | N
     kept = F.lit(False)
     for p in published:
         kept = kept | rel.startswith(p.rstrip("/") + "/")
+    if set(published) == set(PUBLISHABLE):  # all build folders, wherever they are
+        kept = F.exists(parts, lambda d: d.isin(*PUBLISHABLE))
     pruned = F.exists(parts, lambda d: d.isin(*SKIP_DIRS)) & ~(kept & ~F.exists(parts, lambda d: d.isin(*[d for d in SKIP_DIRS if d not in PUBLISHABLE])))
     rows = raw.filter(F.col("length") <= MAX_BYTES).withColumn("file", rel).filter(~pruned).withColumn("ext", extension(F.col("file")))
     if extensions:
@@ -43,6 +47,26 @@ def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | N
     return rows.dropDuplicates(["file"])
 
 
+def project_files(spark: SparkSession, root: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows of ``source_files``, build folders included that a manifest of the tree publishes, and ``project``: the folder of the nearest manifest above.
+
+    A file in a build folder belongs to that folder's path, files join the published folders on it; of the folders above a
+    file the longest one with a manifest is its project (the root if none has one)."""
+    rows = source_files(spark, root, None, PUBLISHABLE)
+    folders = F.split("dir", "/")
+    first = F.array_position(F.transform(folders, lambda d: d.isin(*PUBLISHABLE)), True)
+    rows = rows.withColumn("_build", F.when(first > 0, F.array_join(F.slice(folders, 1, first.cast("int")), "/")))
+    manifests = rows.filter(base_name(F.col("file")).isin(*MANIFESTS) & F.col("_build").isNull())
+    published = published_build_dirs(manifests).select(F.col("dir").alias("_build"))
+    rows = rows.filter("_build is null").unionByName(rows.filter("_build is not null").join(published, "_build", "left_semi")).drop("_build")
+    if extensions:
+        rows = rows.filter(F.col("ext").isin(*extensions) | base_name(F.col("file")).isin(*extensions))
+    up = F.transform(F.sequence(F.lit(0), F.size(folders)), lambda k: F.array_join(F.slice(folders, 1, k), "/"))
+    above = rows.select("file", F.explode(F.array_distinct(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(up))).alias("at"))
+    nearest = above.join(manifests.select(F.col("dir").alias("at")).distinct(), "at").groupBy("file").agg(F.max_by("at", F.length("at")).alias("project"))
+    return rows.join(nearest, "file", "left").withColumn("project", F.coalesce("project", F.lit("")))
+
+
 def release_preamble(text: Column) -> Column:
     head = F.slice(F.split(text, "\n", -1), 1, PREAMBLE_LINES)
     return F.exists(head, lambda x: reduce(or_, (F.contains(x, F.lit(p)) for p in PREAMBLES)))

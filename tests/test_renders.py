@@ -89,11 +89,17 @@ def test_rule_pack(spark):
 
 
 def test_calls_for_tools(spark, tmp_path):
-    for name, text in {"app.py": "import os\ndef view(request):\n    os.system(request.GET['c'])\n", "lib/x.js": "const r = /^(a+)+$/\n", "Dockerfile": "FROM node:latest\n"}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    tree = {
+        "app.py": "import os\ndef view(request):\n    os.system(request.GET['c'])\n", "lib/x.js": "const r = /^(a+)+$/\n", "Dockerfile": "FROM node:latest\n", "web/a.php": "<?php\n$id = $_GET['id'];\nsystem($id); //" + " x" * 1500 + "\n",
+        "ui/package.json": json.dumps({"main": "./dist/main.js"}), "ui/dist/main.js": "b = eval(a);\n", "ui/build/old.js": "b = eval(a);\n", "other/dist/main.js": "b = eval(a);\n", "ui/dist/node_modules/z/z.js": "b = eval(a);\n",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text(text)
     got = {(r.detector_id, r.file, r.line) for r in api.scan_source(spark, str(tmp_path)).collect()}
-    assert {("TAINT-PY-CMDI", "app.py", 3), ("REDOS", "lib/x.js", 1), ("SEC-DOCKER-LATEST", "Dockerfile", 1)} <= got
+    assert {("TAINT-PY-CMDI", "app.py", 3), ("REDOS", "lib/x.js", 1), ("SEC-DOCKER-LATEST", "Dockerfile", 1), ("TAINT-PHP-CMDI", "web/a.php", 3), ("SEC-JS-EVAL", "ui/dist/main.js", 1)} <= got
+    assert {f for _, f, _ in got if f.endswith(".js")} == {"lib/x.js", "ui/dist/main.js"}
+    assert {r.file: r.project for r in files.project_files(spark, str(tmp_path), (".js", ".py")).collect()} == {"app.py": "", "lib/x.js": "", "ui/dist/main.js": "ui"}
     assert {r.detector_id for r in api.scan_source(spark, str(tmp_path), {"docker"}).collect()} == {"SEC-DOCKER-LATEST"}
     assert api.explain_finding("SEC-DOCKER-LATEST")["group"] == "docker" and api.explain_finding("no") == {}
     assert sum(r.n for r in api.coverage(spark).collect()) == len(RULES)
