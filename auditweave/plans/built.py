@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from auditweave.functions import text
 from auditweave.functions.codeview import code_view
 from auditweave.functions.rules import RULES, SUPERSEDED
-from auditweave.operators import evaluation, flow, model_merge, redos, ruleindex, structural
+from auditweave.operators import braces, evaluation, flow, incremental, model_merge, redos, ruleindex, structural
 from auditweave.operators.findings import deduplicated
 from auditweave.plans import rulecases
 from auditweave.plans.corpus import table
@@ -97,16 +97,28 @@ _PROJECT = "'p' || s_suppkey || '/'"
 )
 def q42_project_flow(spark, sf_dir):
     """Request values through functions of other files, in Python and JavaScript, to a sink, past a sanitiser, or nowhere."""
+    return long_line(flow.project_paths(_projects(spark, sf_dir)), "line", "source_line")
+
+
+def _projects(spark, sf_dir, helpers: Column = F.lit("def pick(x):\n    return x\n")):  # noqa: B008
     s = table(spark, sf_dir, "supplier")
     c, name = F.col("s_nationkey"), lambda f: F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit("/" + f))
     app = F.concat(F.lit("from .helpers import pick\nimport store\ndef view(request):\n    a = pick(request.GET['q'])\n    b = store.ask()\n\n    "), chosen(CASES, c), F.lit("\n"))
     js = chosen([f"import {{ sh }} from './deep'\nexport default (req) => sh({x})\n" for x in ("1", "req.query.c", "parseInt(req.query.c)", "'x'")], c)
     built = [
-        ("app.py", app), ("helpers.py", F.lit("def pick(x):\n    return x\n")), ("store.py", F.lit("def ask():\n    return flask.request.args['z']\n")), ("web.js", js),
+        ("app.py", app), ("helpers.py", helpers), ("store.py", F.lit("def ask():\n    return flask.request.args['z']\n")), ("web.js", js),
         ("deep.js", F.lit("const { execSync } = require('child_process')\nexport function sh(x) {\n  execSync('a ' + x)\n}\n")),
     ]
-    rows = s.select(F.explode(F.array(*(F.struct(name(f).alias("file"), t.alias("text")) for f, t in built))).alias("f")).select("f.*")
-    return long_line(flow.project_paths(rows), "line", "source_line")
+    return s.select(F.explode(F.array(*(F.struct(name(f).alias("file"), t.alias("text")) for f, t in built))).alias("f")).select("f.*")
+
+
+@query(
+    f"""WITH s AS (SELECT *, s_nationkey % 5 = 0 AS changed FROM supplier) SELECT {_PROJECT} || f AS file, CASE f WHEN 'helpers.py' THEN 'changed' ELSE 'depends' END AS reason FROM s, (VALUES ('app.py'), ('helpers.py'), ('store.py')) AS t(f) WHERE changed"""
+)
+def q60_incremental_scan(spark, sf_dir):
+    """What must be read again when a helper module changes in the projects of every fifth nation: it and all that is connected with it by imports, nothing of the scripts beside them."""
+    before, now = _projects(spark, sf_dir), _projects(spark, sf_dir, F.when(F.col("s_nationkey") % 5 == 0, "def pick(x):\n    return 'x'\n").otherwise("def pick(x):\n    return x\n"))
+    return incremental.stale(incremental.digests(now), incremental.digests(before), incremental.import_edges(before).union(incremental.import_edges(now)).distinct())
 
 
 # --- structural rules, one handler for each customer
@@ -129,6 +141,36 @@ def q43_structural_rules(spark, sf_dir):
     return long_line(structural.structural_findings(rows), "line")
 
 
+# --- blocks of script files
+
+_SCRIPT = "repeat('if (a) {' || chr(10), (p_size % 6)::INT) || 's = ''  ''; //   ' || chr(10) || 'o = { k: { } }' || chr(10) || repeat('}' || chr(10), (p_size % 6 + p_size % 2)::INT)"
+
+
+def _scripts(spark, sf_dir):
+    n = F.col("p_size")
+    text_ = F.concat(F.repeat(F.lit("if (a) {\n"), (n % 6).cast("int")), F.lit("s = '}{'; // }}{\no = { k: { } }\n"), F.repeat(F.lit("}\n"), (n % 6 + n % 2).cast("int")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("src/b"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("file"), text_.alias("text"))
+    return rows.withColumn("code_view", code_view(F.col("text"), F.lit(".js")))
+
+
+@query(
+    f"""WITH t AS (SELECT 'src/b' || p_partkey || '.js' AS file, unnest(string_split({_SCRIPT}, chr(10))) AS x, generate_subscripts(string_split({_SCRIPT}, chr(10)), 1) AS line FROM part)
+ SELECT file, line::BIGINT AS line, sum(length(replace(x, '}}', '')) - length(replace(x, '{{', ''))) OVER (PARTITION BY file ORDER BY line)::BIGINT AS depth FROM t"""
+)
+def q61_brace_depth(spark, sf_dir):
+    """Depth behind each line of a script for each part, with braces in a string and a comment, and a closing brace too many in some."""
+    return long_line(braces.line_depths(_scripts(spark, sf_dir)), "line", "depth")
+
+
+@query(
+    """WITH p AS (SELECT 'src/b' || p_partkey || '.js' AS file, p_size % 6 AS n FROM part)
+ SELECT file, i::BIGINT AS start_line, 2 * n + 3 - i AS end_line, i::BIGINT AS depth FROM p, (VALUES (1), (2), (3), (4), (5)) AS v(i) WHERE i <= n
+ UNION ALL SELECT file, n + 2, n + 2, n + 1 FROM p UNION ALL SELECT file, n + 2, n + 2, n + 2 FROM p"""
+)
+def q62_block_spans(spark, sf_dir):
+    return long_line(braces.block_spans(_scripts(spark, sf_dir)).select("file", "start_line", "end_line", "depth"), "start_line", "end_line", "depth")
+
+
 # --- regular expressions in code
 
 EXPRESSIONS = [("^(a+)+$", "exponential", "High"), (r"^\S+@\S+$", "quadratic", "Medium"), (r"\d+\.\d+", None, None), (r"^\s+(.*)$", None, None), ("(foo|foobar)+", "exponential", "High")]
