@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditweave.functions.text import bind
 from auditweave.llm.arrowio import bounded_batches
 
 #: Columns of response records.
@@ -68,13 +69,14 @@ def resolved(text: Column, attribute: bool = False) -> Column:
     names = named_references()
 
     def numeric(e: Column) -> Column:
-        digits = F.regexp_replace(F.regexp_extract(e, "^&#[xX]?0*([0-9a-fA-F]*)", 1), "^$", "0")
+        hexadecimal = F.lower(F.substring(e, 3, 1)) == "x"
+        digits = F.ltrim(F.rtrim(F.lower(e), F.lit(";")), F.lit("&#x0"))
         # nine digits are beyond Unicode in either base
-        code = F.when(F.length(digits) > 8, F.lit(0)).otherwise(F.conv(digits, 16, 10).cast("long"))
-        code = F.when(F.regexp_like(e, F.lit("^&#[xX]")), code).otherwise(F.when(F.length(digits) > 8, F.lit(0)).otherwise(digits.try_cast("long")))
-        code = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in NUMBERS.items() for x in kv)), code), code)
-        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), letter).otherwise("\ufffd")
+        read = lambda d: F.coalesce(F.when(F.length(d) > 8, F.lit(0)).when(hexadecimal, F.conv(d, 16, 10).cast("long")).otherwise(d.try_cast("long")), F.lit(0))
+        table = F.create_map(*(F.lit(x) for kv in NUMBERS.items() for x in kv))
+        meant = lambda n: F.when(n.between(min(NUMBERS), max(NUMBERS)), F.try_element_at(table, n)).otherwise(n)
+        letter = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return bind(bind(digits, read), lambda n: bind(meant(n), letter))
 
     def named(e: Column) -> Column:
         head = F.regexp_extract(e, OPEN_NAME, 0)
