@@ -19,7 +19,7 @@ import io
 import re
 import zlib
 from collections.abc import Iterator
-from html.entities import html5
+from html.entities import html5, name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +46,8 @@ HEADER = r"(?m)^([!#-'*+.^-z|~A-Z0-9-]+):[ \t]*([^\r\n]*?)[ \t]*\r?$"
 REFERENCE = r"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*[;=]?)"
 #: What HTML reads numbers of windows-1252's letters as, from that encoding itself, and a no-break space as a plain one.
 NUMBERS = {n: ord(bytes([n]).decode("cp1252", "ignore") or chr(n)) for n in range(128, 160)} | {0xA0: 0x20}
+#: Names that are most of all references in pages.
+FREQUENT = ("amp;", "nbsp;", "lt;", "gt;", "quot;", "middot;", "copy;", "rsquo;", "lsquo;", "ldquo;", "rdquo;", "ndash;", "mdash;", "hellip;", "raquo;", "laquo;", "bull;", "eacute;", "egrave;", "agrave;", "ccedil;", "uuml;", "ouml;", "auml;", "szlig;", "ntilde;", "oacute;", "aacute;", "iacute;", "apos;")
 #: The names that HTML resolves without a semicolon too, longest first.
 OPEN_NAME = "^&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + ")"
 
@@ -56,8 +58,10 @@ def uuid_of(*parts: Column) -> Column:
 
 
 def named_references() -> Column:
-    """All names of HTML5 as one literal map; no-break spaces become plain ones."""
-    return F.str_to_map(F.lit("\x01".join(f"&{n}\x02{' ' if c == chr(0xA0) else c}" for n, c in html5.items())), F.lit("\x01"), F.lit("\x02"))
+    """All names of HTML5 as one literal map; no-break spaces become plain ones. A map is searched from its beginning, so the names that pages have most come first."""
+    old = [f"{n};" for n in name2codepoint]
+    ordered = dict.fromkeys([*FREQUENT, *old, *html5])
+    return F.str_to_map(F.lit("\x01".join(f"&{n}\x02{' ' if html5[n] == chr(0xA0) else html5[n]}" for n in ordered)), F.lit("\x01"), F.lit("\x02"))
 
 
 def resolved(text: Column, attribute: bool = False) -> Column:
