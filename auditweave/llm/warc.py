@@ -33,7 +33,7 @@ RESPONSE = ["source_id", "record_id", "target_uri", "date", "http_headers", "pay
 #: Crawl date of responses that have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-UNSEEN = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|<template\b[^>]*>.*?(?:</template\s*>|\z)"
+UNSEEN = r"(?is)<(?:script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)|noscript\b[^>]*>.*?(?:</noscript\s*>|\z)|template\b[^>]*>.*?(?:</template\s*>|\z))"
 LINES = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|title|head|body|html|blockquote|pre|form)\b[^>]*>"
 #: A < before a blank is text, and each quote ends at its own kind.
 MARKUP = r"<[a-zA-Z/!?][^>]*>"
@@ -112,8 +112,8 @@ def unquoted(value: Column) -> Column:
 
 def tidied(text: Column) -> Column:
     """Blanks as one space (single spaces are left alone, which is most of them), lines without blanks around, no empty lines."""
-    t = F.regexp_replace(text, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    t = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " ")
+    return F.trim(F.regexp_replace(F.replace(t, F.lit(" \n"), F.lit("\n")), r"\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def one_line(text: Column) -> Column:
