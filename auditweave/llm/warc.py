@@ -112,8 +112,9 @@ def unquoted(value: Column) -> Column:
 
 def tidied(text: Column) -> Column:
     """Blanks as one space (single spaces are left alone, which is most of them), lines without blanks around, no empty lines."""
-    t = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " ")
-    return F.trim(F.regexp_replace(F.replace(t, F.lit(" \n"), F.lit("\n")), r"\n[ \n]+", "\n"), F.lit(" \n"))
+    folded = lambda x, pattern, by: F.array_join(F.split(x, pattern, -1), by)  # noqa: E731  half the time of a replacement
+    t = F.replace(folded(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*| [ \t\r\f\x0B]+", " "), F.lit(" \n"), F.lit("\n"))
+    return F.trim(folded(t, r"\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def one_line(text: Column) -> Column:
