@@ -100,7 +100,8 @@ def q42_project_flow(spark, sf_dir):
     return long_line(flow.project_paths(_projects(spark, sf_dir)), "line", "source_line")
 
 
-def _projects(spark, sf_dir, helpers: Column = F.lit("def pick(x):\n    return x\n")):  # noqa: B008
+def _projects(spark, sf_dir, helpers: Column | None = None):
+    helpers = F.lit("def pick(x):\n    return x\n") if helpers is None else helpers
     s = table(spark, sf_dir, "supplier")
     c, name = F.col("s_nationkey"), lambda f: F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit("/" + f))
     app = F.concat(F.lit("from .helpers import pick\nimport store\ndef view(request):\n    a = pick(request.GET['q'])\n    b = store.ask()\n\n    "), chosen(CASES, c), F.lit("\n"))
