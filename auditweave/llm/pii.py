@@ -16,8 +16,8 @@ of all rows reach the fit, in a table bounded by the possible votes, whatever th
 expectation-maximisation over these counts (two classes, votes independent given the class) estimates how often each
 labeler is right when it votes, kept within ``RANGE`` so that classes cannot change places, and each pattern's share of
 true spans. A logistic span classifier over votes, shape and kind is trained on these shares, weighted by the counts, and
-compiled into a column expression. A candidate is reported if its score reaches ``REPORT`` and labelers of two sorts
-(pattern, gazetteer, context) vote for it.
+compiled into a column expression. A candidate is reported if its score reaches ``REPORT``, labelers of two sorts (pattern,
+gazetteer, context) vote for it and its check does not fail: a number with wrong check digits is nobody's card.
 
 All patterns are walked in linear time: mail addresses from their @, IP addresses by whole chains of numbers. Edge cases:
 null and empty texts have no spans; texts of any length are read whole; spans that begin at one place (ties) stand in the
@@ -309,9 +309,9 @@ def score(span: Column, weights: np.ndarray) -> Column:
 
 
 def backed(span: Column) -> Column:
-    """Whether labelers of two sorts vote for a span."""
+    """Whether labelers of two sorts vote for a span and its check does not vote against it."""
     voices = [F.when(sum((F.getbit(span["pattern"], F.lit(2 * LABELERS.index(n))) for n in sort), F.lit(0)) > 0, 1).otherwise(0) for sort in SORTS]
-    return sum(voices, F.lit(0)) >= 2
+    return (sum(voices, F.lit(0)) >= 2) & (F.getbit(span["pattern"], F.lit(2 * LABELERS.index("check") + 1)) == 0)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: float = REPORT) -> DataFrame:

@@ -61,9 +61,11 @@ def corpus(seed=2):
     rows, planted, decoys = [], {}, {}
     for i in range(600):
         text = [rng.choice(words) for _ in range(30)]
-        what = i % 6
-        span = {0: f"{rng.choice(words)}.{i}(at)mail{i}(dot)com", 1: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", 2: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", 3: "Dr. " + rng.choice(["Anna Weber", "Peter Smith"]), 4: f"1999-{rng.randrange(10000, 99999)}", 5: f"+1 (555) 555-{rng.randrange(1000, 9999)} and x{i}@mail.com and {card(rng)} and 10.2.3.4"}[what]
-        cue = {0: "mail", 1: "phone", 2: "SSN", 3: "signed", 4: "order", 5: "and"}[what]
+        what = i % 7
+        span = {0: f"{rng.choice(words)}.{i}(at)mail{i}(dot)com", 1: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", 2: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", 3: "Dr. " + rng.choice(["Anna Weber", "Peter Smith"]), 4: f"1999-{rng.randrange(10000, 99999)}", 6: "41" + "".join(rng.choice("13579") for _ in range(13)) + "8", 5: f"+1 (555) 555-{rng.randrange(1000, 9999)} and x{i}@mail.com and {card(rng)} and 10.2.3.4"}[what]
+        cue = {0: "mail", 1: "phone", 2: "SSN", 3: "signed", 4: "order", 5: "and", 6: "and"}[what]
+        if what == 6 and luhn(span):
+            span = span[:-1] + "9"
         text[10:11] = [cue, span]
         (planted if what < 4 else decoys)[i] = span
         rows.append((i, " ".join(text)))
