@@ -315,7 +315,7 @@ def q50_sink_resolution(spark, sf_dir):
 )
 def q51_family_totals(spark, sf_dir):
     """One card for each market segment and nation as a date; the newest card counts once."""
-    tp = F.expr("(cast(round(c_acctbal) as int) % 7 + 7) % 7")
+    tp = F.expr("(cast(rint(c_acctbal) as int) % 7 + 7) % 7")  # halves go to the even neighbour, as in a cast of SQL
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("repo"), F.col("c_nationkey").alias("date"), F.struct(F.concat(F.lit("f"), (F.col("c_custkey") % 4).cast("string")).alias("family"), tp.alias("tp"), (F.col("c_custkey") % 5).alias("fn")).alias("f"))
     cards = rows.groupBy("repo", "date").agg(F.collect_list("f").alias("families"))
     return evaluation.family_totals(evaluation.newest_cards(cards, 12))
