@@ -93,3 +93,12 @@ def test_intervals_and_labels(spark):
     results = spark.createDataFrame([("root/app/f.js", 15, "CWE-9"), ("lib/g.js", 3, "CWE-2")], "file string, line int, cwe string")
     assert {r.id: (r.loose, r.strict) for r in scoring.label_hits(labels, results, 10).collect()} == {"a": (True, False), "b": (True, True)}
     assert {r.id: r.loose for r in scoring.label_hits(labels, results).collect()} == {"a": False, "b": False}
+
+
+def test_copies_of_a_position_merge_as_one(spark):
+    """Windows with equal ends have no order among them; none may fall out of the span that they open."""
+    once = [("f", x) for x in (1, 3, 40, 90, 130)]
+    want = [("f", 1, 17), ("f", 26, 54), ("f", 76, 104), ("f", 116, 144)]
+    for times in (1, 50):
+        df = spark.createDataFrame(once * times, "file string, line int").repartition(4)
+        assert sorted(map(tuple, intervals.merged_windows(df, ["file"], "line", 14).collect())) == want
